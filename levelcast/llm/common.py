@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 #: Rows up to which a join side whose rows have been counted is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of one Arrow batch sent to a Python worker.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -45,6 +48,16 @@ def sized(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers hold, by bytes: 10,000 rows of long texts would be too many.
+
+    Set for the session if it has no bound of its own yet.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def key(col: Column | str) -> Column:
     """A non-null string key for a nullable string column: '' is null, '=x' is x."""
     c = F.col(col) if isinstance(col, str) else col
@@ -59,6 +72,8 @@ def held_out(doc_id: Column) -> Column:
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with a function made once per task; empty batches are passed over."""
 
+    bounded(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:

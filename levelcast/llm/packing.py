@@ -183,6 +183,7 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str | None = None, pa
     A chunk holds the rows one task has read since the last chunk, about ``CHUNK_TOKENS`` ids.
     """
     common.missing_columns(docs, "doc_id", "text", "source")
+    common.bounded(docs.sparkSession)
     schema = "chunk long, queue string, doc_id long, local_at long, n long, ids binary"
 
     def run(batches):

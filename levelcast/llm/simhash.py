@@ -161,6 +161,7 @@ def _linked(keyed: DataFrame, distance: int, limit: int) -> DataFrame:
         if held and not over:
             yield from links(np.concatenate(held))
 
+    common.bounded(keyed.sparkSession)
     grouped = keyed.repartition("key_no", "key").sortWithinPartitions("key_no", "key", "fp")
     return grouped.mapInArrow(run, "key_no int, a long, b long")
 
