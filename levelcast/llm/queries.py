@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, secrets, simhash
+from . import mixing, packing, pii, quality, secrets, simhash, subword, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,13 +49,23 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by supervised subword embeddings."""
+    return subword.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mixture_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a factorization machine."""
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality, op4_pii, op6_secrets, op8_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality, op4_pii, op6_secrets, op7_quality_classifier, op8_mixing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

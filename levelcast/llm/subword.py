@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, character n-grams and word n-grams are hashed to rows of an embedding table; a document
+Words, character n-grams (of UTF-8 bytes) and word n-grams are hashed to rows of an embedding table; a document
 is the mean of its rows; a softmax over two classes reads that mean. The table and the output
 layer are learned together by stochastic gradient descent in numpy, from a bounded sample of
 labelled rows. Two word n-grams are abstract: a bigram of equal words, and a trigram that the
@@ -12,8 +12,7 @@ model that executors get is one number per bucket.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,71 +22,85 @@ from . import labelled
 
 #: Buckets of the embedding table (the last two are the abstract n-grams), and its width.
 BUCKETS, WIDTH = 1 << 15, 8
-SHORT, LONG = 3, 5
-EPOCHS, RATE, BATCH, DECAY = 30, 0.5, 32, 1e-5
+EPOCHS, RATE, BATCH, DECAY = 12, 0.5, 32, 1e-5
 #: A score from here up predicts class 1.
 CUT = 0.3
 PLAIN = BUCKETS - 2
-
-
-def word_buckets(word: str) -> list[int]:
-    """Buckets of a lower-cased word and of its character n-grams, bounds marked."""
-    marked = f"<{word.lower()}>"
-    raw = [zlib.crc32(b"w" + marked.encode("utf-8", "surrogatepass")) % PLAIN]
-    if len(marked) > 64:  # of a run without spaces, the n-grams at its ends and every block of 64 are cut alike
-        parts = [marked[i : i + 64] for i in range(0, len(marked), 64)]
-    else:
-        parts = [marked]
-    for part in parts:
-        for n in range(SHORT, LONG + 1):
-            raw += [zlib.crc32(part[i : i + n].encode("utf-8", "surrogatepass")) % PLAIN for i in range(len(part) - n + 1)]
-    return raw
-
-
-def _words(text: str, cache: dict, value: Callable[[str], object]) -> tuple[list, np.ndarray, np.ndarray]:
-    """Cached values of the words, their hashes, and their numbers within the text."""
-    words = text.split()
-    if len(cache) > labelled.CACHE:
-        cache.clear()
-    found = []
-    for w in words:
-        v = cache.get(w)
-        if v is None:
-            v = cache[w] = value(w)
-        found.append(v)
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    return found, np.array([v[0] for v in found], np.int64), ids
-
-
-def _ngrams(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Buckets of the word bigrams, the bigrams of equal words, the trigrams had before."""
-    pairs = (hashes[:-1] * 1_000_003 + hashes[1:] * 8191) % PLAIN
-    same = int((ids[1:] == ids[:-1]).sum())
-    if len(ids) < 4:
-        return pairs, same, 0
-    k = int(ids.max()) + 1
-    pair = ids[:-1] * k + ids[1:]
-    if k >= 2_000_000:
-        pair = np.unique(pair, return_inverse=True)[1]
-    return pairs, same, len(ids) - 2 - len(np.unique(pair[:-1] * k + ids[2:]))
+#: Bytes of a text that are hashed at a time.
+SLICE = 1 << 20
+#: ASCII white space, which bounds words.
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\x0b\x0c\r")] = True
+#: Powers of an odd number modulo 2**64, for the hash of a word; in longer words they repeat.
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    """Buckets of 64-bit values."""
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return ((h >> np.uint64(33)) % np.uint64(PLAIN)).astype(np.int64)
+
+
+def _slices(raw: bytes) -> Iterator[bytes]:
+    """The text in parts of about SLICE bytes, cut at white space where there is some."""
+    at = 0
+    while at < len(raw):
+        end = at + SLICE
+        if end < len(raw):
+            cut = max(raw.rfind(b" ", at + 1, end), raw.rfind(b"\n", at + 1, end))
+            end = cut if cut > at else end
+        yield raw[at:end]
+        at = end
+
+
+def buckets(text: str) -> Iterator[np.ndarray]:
+    """Buckets of a text's features, repeats included, in a few arrays.
+
+    Of each lower-cased word: itself, and the 3-grams and 4-grams of its UTF-8 bytes, where
+    its bounds count as a space. Of the words: bigrams, the bigrams of equal words (PLAIN),
+    and the trigrams that have occurred before (PLAIN + 1).
+    """
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    last, threes = np.zeros(0, np.uint64), []
+    same = 0
+    for part in _slices(raw):
+        b = np.frombuffer(b" " + part + b" ", np.uint8)
+        gap = SPACE[b]
+        v = np.where(gap, np.uint8(32), b).astype(np.uint64)
+        inner = ~gap[1:-1]
+        three = (v[:-2] << np.uint64(16)) | (v[1:-1] << np.uint64(8)) | v[2:]
+        yield _bucket(three[inner] + np.uint64(1 << 40))
+        if len(v) > 3:
+            four = (three[:-1] << np.uint64(8)) | v[3:]
+            yield _bucket(four[inner[:-1] & inner[1:]] + np.uint64(1 << 41))
+        starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        if not len(starts):
+            continue
+        place = np.arange(len(b)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(b)]])))
+        words = np.add.reduceat(np.where(gap, np.uint64(0), v + np.uint64(1)) * _POWERS[place % 4096], starts)
+        yield _bucket(words)
+        line = np.concatenate([last, words])
+        same += int((line[1:] == line[:-1])[max(0, len(last) - 1) :].sum())
+        two = line[:-1] * _MIX + line[1:]
+        yield _bucket(two[max(0, len(last) - 1) :])
+        if len(line) > 2:
+            threes.append(two[:-1] * _MIX + line[2:])
+        last = line[-2:]
+    again = 0
+    if threes:
+        every = np.concatenate(threes)
+        again = len(every) - len(np.unique(every))
+    yield np.repeat(np.array([PLAIN, PLAIN + 1]), [same, again])
 
 
 def features() -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
     """A function from a text to its buckets and how often each occurs."""
-    cache: dict = {}
-
-    def value(word: str) -> tuple[int, np.ndarray]:
-        own = word_buckets(word)
-        return own[0], np.array(own, np.int64)
 
     def look(text: str) -> tuple[np.ndarray, np.ndarray]:
-        found, hashes, ids = _words(text, cache, value)
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        pairs, same, again = _ngrams(hashes, ids)
-        count = np.bincount(np.concatenate([*(v[1] for v in found), pairs]), minlength=BUCKETS)
-        count[PLAIN], count[PLAIN + 1] = same, again
+        count = np.zeros(BUCKETS, np.int64)
+        for found in buckets(text):
+            count += np.bincount(found, minlength=BUCKETS)
         at = np.flatnonzero(count)
         return at, count[at]
 
@@ -102,19 +115,13 @@ class Model:
     bias: float
 
     def scorer(self) -> Callable[[str], float]:
-        pull, bias, cache = self.pull, self.bias, {}
-
-        def value(word: str) -> tuple[int, float, int]:
-            own = word_buckets(word)
-            return own[0], float(pull[own].sum()), len(own)
+        pull, bias = self.pull, self.bias
 
         def score(text: str) -> float:
-            found, hashes, ids = _words(text, cache, value)
             total, n = 0.0, 0
-            if found:
-                pairs, same, again = _ngrams(hashes, ids)
-                total = sum(v[1] for v in found) + float(pull[pairs].sum()) + same * pull[PLAIN] + again * pull[PLAIN + 1]
-                n = sum(v[2] for v in found) + len(pairs) + same + again
+            for found in buckets(text):
+                total += float(pull[found].sum())
+                n += len(found)
             return float(1 / (1 + np.exp(-np.clip(bias + total / max(1, n), -50, 50))))
 
         return score
@@ -126,35 +133,29 @@ def train(y: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], share:
     ``share``: class 1's share of all labels; the bias is moved from the sample's odds to it.
     """
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.3, (BUCKETS, WIDTH))
+    table = rng.normal(0, 0.3, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = rng.normal(0, 0.3, (WIDTH, 2)), np.zeros(2)
-    seen, seen_out, seen_bias = np.full(BUCKETS, 1e-8), np.full((WIDTH, 2), 1e-8), np.full(2, 1e-8)
+    seen, seen_out, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full((WIDTH, 2), 1e-8), np.full(2, 1e-8)
     n = len(y)
     if not n or y.min() == y.max():
         return Model(np.zeros(BUCKETS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     weight = np.where(y == 1, n / (2 * (y == 1).sum()), n / (2 * (y == 0).sum()))
-    part = [c / max(1.0, c.sum()) for c in counts]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for pick in labelled.batches(n, BATCH, rng):
-            grad_out, grad_bias, touched, grads = np.zeros_like(out), np.zeros(2), [], []
-            for i in pick:
-                rows = table[ids[i]]
-                mean = part[i] @ rows
-                logit = mean @ out + bias
-                p = np.exp(logit - logit.max())
-                p /= p.sum()
-                p[y[i]] -= 1
-                p *= weight[i] / len(pick)
-                grad_out += np.outer(mean, p)
-                grad_bias += p
-                touched.append(ids[i])
-                grads.append(np.outer(part[i], out @ p))
-            at, where = np.unique(np.concatenate(touched), return_inverse=True)
-            grad = np.zeros((len(at), WIDTH))
-            np.add.at(grad, where, np.concatenate(grads))
-            seen[at] += (grad**2).sum(axis=1)
-            table[at] -= rate * grad / np.sqrt(seen[at])[:, None] + DECAY * table[at]
+            part = np.zeros((len(pick), BUCKETS), np.float32)
+            for row, i in zip(part, pick, strict=True):
+                row[ids[i]] = counts[i] / max(1.0, counts[i].sum())
+            mean = part @ table
+            logit = mean @ out + bias
+            p = np.exp(logit - logit.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(pick)), y[pick]] -= 1
+            p *= (weight[pick] / len(pick))[:, None]
+            grad_out, grad_bias = mean.T @ p, p.sum(axis=0)
+            grad = part.T @ (p @ out.T).astype(np.float32)
+            seen += (grad**2).sum(axis=1)
+            table -= (rate / np.sqrt(seen))[:, None].astype(np.float32) * grad + np.float32(DECAY) * table
             seen_out += grad_out**2
             out -= rate * grad_out / np.sqrt(seen_out)
             seen_bias += grad_bias**2

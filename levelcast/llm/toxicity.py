@@ -21,7 +21,7 @@ from . import labelled
 
 BUCKETS, WIDTH = 1 << 18, 4
 #: Beginnings of words that are terms.
-SHORT, LONG = 4, 7
+SHORT, LONG = 3, 8
 #: Buckets kept at most, the z-score they need, and the documents of either class they need.
 KEPT, LEAST_Z, LEAST_DF = 2048, 4.0, 3
 EPOCHS, RATE, BATCH, L2 = 40, 0.1, 64, 1e-4
