@@ -275,7 +275,8 @@ def pack(
             out = [doc_id.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(cut["sequence_id"]), pa.array(cut["offset"]), pa.array(source, pa.string()).take(pa.array(doc))]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
             if with_ids:
-                out.append(pa.array(own, pa.list_(pa.int32())))
+                flat = np.concatenate(own) if own else np.zeros(0, np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(flat, pa.int32())))
                 names.append("ids")
             return pa.RecordBatch.from_arrays(out, names=names)
 

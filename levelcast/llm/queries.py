@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, secrets, simhash, subword, toxicity
+from . import licenses, mixing, packing, pii, quality, secrets, simhash, subword, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,8 +64,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every document by a trained paragraph classifier."""
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality, op4_pii, op6_secrets, op7_quality_classifier, op8_mixing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality, op4_pii, op6_secrets, op7_quality_classifier, op8_mixing, op9_toxicity, op10_licenses, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

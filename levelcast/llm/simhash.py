@@ -189,20 +189,37 @@ def fingerprint_links(nodes: DataFrame, distance: int = 3, limit: int = GROUP_LI
     return links
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3, keep: tuple[str, ...] = (), limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable) and the columns ``keep``, for every row.
+def _components(prints: DataFrame, distance: int, limit: int) -> DataFrame:
+    """(fp, first): per fingerprint, the least (id is null, id, row) of its component."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = common.staged(prints.groupBy("fp").agg(least.alias("first")), "simhash-nodes")
+    labels = connected_components(fingerprint_links(nodes.select("fp"), distance, limit))
+    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    first = named.groupBy("component").agg(F.min("first").alias("first"))
+    return named.select("fp", "component").join(first, "component").select("fp", "first")
+
+
+def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3, limit: int = GROUP_LIMIT) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable), for every row.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows whose doc_id
-    is null keep their fingerprint; such an id is never a component's smallest unless all are
-    null. Repeated rows each give a row. An empty table gives no rows.
+    is null keep their fingerprint; a component's id is null only if all its ids are.
+    Repeated rows each give a row. An empty table gives no rows.
     """
-    prints = common.staged(fingerprints(docs, n, keep), "simhash-fp")
-    nodes = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    labels = connected_components(fingerprint_links(nodes.select("fp"), distance, limit))
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(first, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
+    prints = common.staged(fingerprints(docs, n).withColumn("row", F.monotonically_increasing_id()), "simhash-fp")
+    return prints.join(_components(prints, distance, limit), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 3, distance: int = 3, limit: int = GROUP_LIMIT) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, null last.
+
+    Of repeated rows of one id the first written is kept.
+    """
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("whole"))
+    prints = common.staged(fingerprints(inner, n, ("whole",)).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    found = _components(prints.select("doc_id", "fp", "row"), distance, limit)
+    keep = prints.select("fp", "row").join(found, "fp").filter(F.col("row") == F.col("first.row")).select("row")
+    return prints.join(keep, "row", "left_semi").select("whole.*")
 
 
 def hex_digits(fp: Column) -> Column:
