@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, pii, quality, secrets, simhash, subword, toxicity
+from . import licenses, mixing, nndescent, packing, pii, quality, secrets, simhash, subword, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95 by NN-descent."""
+    return nndescent.near_duplicates(_table(spark, sf_dir, "embeddings"))[0]
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.secrets_report(_table(spark, sf_dir, "documents"))
@@ -77,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality, op4_pii, op6_secrets, op7_quality_classifier, op8_mixing, op9_toxicity, op10_licenses, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality, op4_pii, op5_embeddings, op6_secrets, op7_quality_classifier, op8_mixing, op9_toxicity, op10_licenses, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
