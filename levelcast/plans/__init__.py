@@ -1 +1,3 @@
+"""Named queries; importing the package registers them all."""
 
+from . import registry, series_queries  # noqa: F401
