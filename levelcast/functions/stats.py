@@ -9,12 +9,15 @@ from statistics import NormalDist
 import numpy as np
 
 
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
+
+
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
 def _bisect(f: Callable[[float], float], low: float, high: float) -> float:
-    for _ in range(200):
+    for _ in range(60):
         mid = (low + high) / 2
         if f(mid) < 0:
             low = mid
@@ -25,9 +28,8 @@ def _bisect(f: Callable[[float], float], low: float, high: float) -> float:
 
 def skew_normal_cdf(x: float, alpha: float) -> float:
     """Phi(x) - 2 T(x, alpha), Owen's T by Gauss-Legendre quadrature."""
-    node, weight = np.polynomial.legendre.leggauss(64)
-    t = alpha * (node + 1) / 2
-    owen = alpha / 2 * float(weight @ (np.exp(-0.5 * x * x * (1 + t * t)) / (1 + t * t))) / (2 * math.pi)
+    t = alpha * (_NODES + 1) / 2
+    owen = alpha / 2 * float(_WEIGHTS @ (np.exp(-0.5 * x * x * (1 + t * t)) / (1 + t * t))) / (2 * math.pi)
     return NormalDist().cdf(x) - 2 * owen
 
 

@@ -35,7 +35,7 @@ def regional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("scenario"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("component"), F.floor(F.col("user_id") / 3).alias("sample_id"), (F.lit(2024) + F.floor((F.dayofmonth("ts") - 1) / 10)).cast("int").alias("year")).agg((F.avg("value") / 100).alias("value"))
+    return e.groupBy(F.col("event_type").alias("scenario"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("component"), F.floor(F.col("user_id") / 3).alias("sample_id"), (F.lit(2024) + F.floor((F.dayofmonth("ts") - 1) / 10)).cast("int").alias("year")).agg((F.avg("value") / 97.3).alias("value"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,6 @@ REGIONAL = """regional AS (SELECT *, year(month) + (month(month) - 1) / 12.0::DO
   SELECT o_orderpriority AS series, date_trunc('month', o_orderdate)::TIMESTAMP AS month, avg(o_totalprice) / 1e5 AS level,
          stddev_pop(o_totalprice) / 1e5 / sqrt(count(*)) AS sigma FROM orders GROUP BY 1, 2))"""
 ENS = """ens AS (SELECT event_type AS scenario, 'c' || (user_id % 3) AS component, user_id // 3 AS sample_id,
-  (2024 + (day(ts) - 1) // 10)::INT AS year, avg(value) / 100 AS value FROM events GROUP BY 1, 2, 3, 4)"""
+  (2024 + (day(ts) - 1) // 10)::INT AS year, avg(value) / 97.3 AS value FROM events GROUP BY 1, 2, 3, 4)"""
 CELLS = """cells AS (SELECT year(l_shipdate)::INT AS year, (l_partkey % 18 * 10 - 85)::DOUBLE AS lat, (l_suppkey % 36 * 10)::DOUBLE AS lon,
   l_linenumber AS depth, l_extendedprice / 1e4 AS value, l_quantity AS weight FROM lineitem)"""
