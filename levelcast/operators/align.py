@@ -49,7 +49,7 @@ def left_fill_median(left: DataFrame, right: DataFrame, on: Sequence[str], colum
 
 def _bracketed(queries: DataFrame, knots: DataFrame, x: str, values: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Queries with ``_lo`` and ``_hi``: the knots (x, values) at or before and at or after them."""
-    knot = F.struct(F.col(x).alias("x"), *[F.col(v).alias(v) for v in values])
+    knot = F.struct(F.col(x).alias("at__"), *[F.col(v).alias(v) for v in values])
     marked = knots.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"), knot.alias("_k"), F.lit(None).cast(queries.select(F.struct("*")).schema[0].dataType).alias("_q"))
     asked = queries.select(*by, F.col(x).alias("_x"), F.lit(None).cast(marked.schema["_k"].dataType).alias("_k"), F.struct("*").alias("_q"))
     every = marked.unionByName(asked)
@@ -65,9 +65,9 @@ def nearest(queries: DataFrame, knots: DataFrame, x: str, values: Sequence[str],
     With a tolerance, queries whose nearest knot is farther are left out.
     """
     both = _bracketed(queries, knots, x, values, by)
-    low = F.col("_lo.x").isNotNull() & (F.col("_hi.x").isNull() | (F.col(x) - F.col("_lo.x") <= F.col("_hi.x") - F.col(x)))
+    low = F.col("_lo.at__").isNotNull() & (F.col("_hi.at__").isNull() | (F.col(x) - F.col("_lo.at__") <= F.col("_hi.at__") - F.col(x)))
     pick = F.when(low, F.col("_lo")).otherwise(F.col("_hi"))
-    out = both.withColumn("_p", pick).select(*queries.columns, F.col("_p.x").alias(f"{prefix}{x}"), *[F.col(f"_p.{v}").alias(f"{prefix}{v}") for v in values])
+    out = both.withColumn("_p", pick).select(*queries.columns, F.col("_p.at__").alias(f"{prefix}{x}"), *[F.col(f"_p.{v}").alias(f"{prefix}{v}") for v in values])
     if tolerance is not None:
         out = out.filter(F.abs(F.col(f"{prefix}{x}") - F.col(x)) <= tolerance)
     return out
@@ -87,11 +87,11 @@ def interpolate(queries: DataFrame, knots: DataFrame, x: str, values: Sequence[s
     if outside not in ("clamp", "null"):
         raise ValueError("outside must be 'clamp' or 'null'")
     both = _bracketed(queries, knots, x, values, by)
-    part = (F.col(x) - F.col("_lo.x")) / (F.col("_hi.x") - F.col("_lo.x"))
+    part = (F.col(x) - F.col("_lo.at__")) / (F.col("_hi.at__") - F.col("_lo.at__"))
     out = []
     for v in values:
         lo, hi = F.col(f"_lo.{v}"), F.col(f"_hi.{v}")
-        inside = F.when(F.col("_hi.x") == F.col("_lo.x"), lo).otherwise(lo + part * (hi - lo))
+        inside = F.when(F.col("_hi.at__") == F.col("_lo.at__"), lo).otherwise(lo + part * (hi - lo))
         ends = F.when(F.col("_lo").isNull(), hi).otherwise(lo) if outside == "clamp" else F.lit(None).cast("double")
         out.append(F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), ends).otherwise(inside).alias(v))
     return both.select(*queries.columns, *out)
