@@ -128,7 +128,8 @@ def copies(docs: DataFrame, keep: tuple[str, ...], weights: Callable[[int, str |
     """
     common.missing_columns(docs, "doc_id", "text", "source", *keep)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = common.staged(docs.select(*keep, F.col("doc_id").alias("m_id"), F.col("source").cast("string").alias("m_source"), common.key("source").alias("skey"), size.alias("size")), "mix-rows")
+    whole = F.struct(*keep).alias("m_whole")  # so that no column of the input meets one of these
+    rows = common.staged(docs.select(whole, F.col("doc_id").alias("m_id"), F.col("source").cast("string").alias("m_source"), common.key("source").alias("skey"), size.alias("size")), "mix-rows")
     counts = common.staged(rows.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"), F.first("m_source").alias("m_source")), "mix-counts")
     stats = counts.groupBy("skey").agg(F.first("m_source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("total"), F.max("size").alias("most"), F.sum("n").alias("docs")).collect()
     total = {r["skey"]: int(r["total"]) for r in stats}
@@ -153,7 +154,7 @@ def copies(docs: DataFrame, keep: tuple[str, ...], weights: Callable[[int, str |
     some = ranked.filter("quota > 0").withColumn("rank", rank).withColumn("m_copies", F.col("each") + (F.col("rank") <= F.col("quota")).cast("long")).drop("rank")
     rest = ranked.filter("quota = 0").withColumn("m_copies", F.col("each"))
     out = some.unionByName(rest).join(by_source, "skey")
-    return out.select(*keep, F.col("size").alias("m_size"), "m_source_size", F.col("goal").alias("m_target"), "m_copies")
+    return out.select("m_whole.*", F.col("size").alias("m_size"), "m_source_size", F.col("goal").alias("m_target"), "m_copies")
 
 
 def mixture_report(docs: DataFrame) -> DataFrame:

@@ -27,8 +27,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 GAMMA, LEAST = 1.02, 1e-4
 #: Documents below which a group borrows its parent's sketch.
 MIN_GROUP = 200
-#: Fence: third quartile plus so many interquartile ranges.
-FENCE = 3.0
+#: Fence: third quartile plus so many interquartile ranges, and at least so many times the third
+#: quartile, for groups whose values lie close together.
+FENCE, SLACK = 3.0, 1.5
 #: Measures, each a ratio where high is bad, with the value below which no cutoff goes:
 #: a group without any symbols must not reject the first dollar sign.
 MEASURES = {"symbol_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.4, "stutter_ratio": 0.2}
@@ -115,11 +116,11 @@ def quantiles(sketch: DataFrame, groups: list[str], qs: dict[str, float]) -> Dat
 def cutoffs(rows: DataFrame) -> DataFrame:
     """(q_lang, q_source, cut_<measure>...): the cutoffs of each group, for rows with those keys."""
     fine = common.staged(sketches(rows, ["q_lang", "q_source"], _ratios()), "quality-sketch")
-    fence = lambda level: F.col("q75") + FENCE * (F.col("q75") - F.col("q25"))
+    fence = F.greatest(F.col("q75") + FENCE * (F.col("q75") - F.col("q25")), SLACK * F.col("q75"))
     ask = {"q25": 0.25, "q75": 0.75}
-    own = quantiles(fine, ["q_lang", "q_source"], ask).select("q_lang", "q_source", "measure", F.col("n").alias("own_n"), fence("own").alias("own"))
-    lang = quantiles(merged(fine, ["q_lang"]), ["q_lang"], ask).select("q_lang", "measure", F.col("n").alias("lang_n"), fence("lang").alias("lang"))
-    every = quantiles(merged(fine, []), [], ask).select("measure", fence("all").alias("every"))
+    own = quantiles(fine, ["q_lang", "q_source"], ask).select("q_lang", "q_source", "measure", F.col("n").alias("own_n"), fence.alias("own"))
+    lang = quantiles(merged(fine, ["q_lang"]), ["q_lang"], ask).select("q_lang", "measure", F.col("n").alias("lang_n"), fence.alias("lang"))
+    every = quantiles(merged(fine, []), [], ask).select("measure", fence.alias("every"))
     pick = F.when(F.col("own_n") >= MIN_GROUP, F.col("own")).when(F.col("lang_n") >= MIN_GROUP, F.col("lang")).otherwise(F.col("every"))
     floor = F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv])
     cut = own.join(lang, ["q_lang", "measure"]).join(every, "measure").withColumn("cut", F.greatest(pick, floor[F.col("measure")]))
