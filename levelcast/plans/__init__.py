@@ -1,3 +1,3 @@
 """Named queries; importing the package registers them all."""
 
-from . import bayes_queries, ensemble_queries, model_queries, projection_queries, registry, series_queries, source_queries  # noqa: F401
+from . import bayes_queries, derived_queries, ensemble_queries, model_queries, projection_queries, registry, series_queries, source_queries  # noqa: F401
