@@ -31,7 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Newton iterations at most, and the relative error of a source's tokens at which they end.
 ITERATIONS, ERROR = 60, 1e-7
 #: Documents of one source and size that one task ranks.
-RANKED = 4096
+RANKED = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
