@@ -80,7 +80,7 @@ def solve(counts: DataFrame, goal: Mapping[str, float], total: Mapping[str, int]
         if not live:
             break
         now = spark.createDataFrame([(s, lam[s] / scale[s]) for s in sorted(live)], "skey string, lam double")
-        rows = counts.join(F.broadcast(now), "skey")
+        rows = counts.join(common.sized(now, len(live)), "skey")
         rate = _rate(F.col("lam"), F.col("size"), cap)
         tokens = F.col("n") * F.col("size") * rate
         found = rows.groupBy("skey").agg(F.sum(tokens).alias("g"), F.sum(F.when(rate < cap, tokens * F.col("size")).otherwise(0.0)).alias("h")).collect()
@@ -137,7 +137,8 @@ def copies(docs: DataFrame, keep: tuple[str, ...], weights: Callable[[int, str |
     goal = {r["skey"]: named[r["source"]] for r in stats}
     lam = solve(counts, goal, total, {r["skey"]: r["most"] for r in stats}, {r["skey"]: r["docs"] for r in stats}, cap)
     spark = docs.sparkSession
-    by_source = F.broadcast(spark.createDataFrame([(s, total[s], goal[s], lam[s] if math.isfinite(lam[s]) else None) for s in sorted(goal)], "skey string, m_source_size long, goal double, lam double"))
+    by_source = spark.createDataFrame([(s, total[s], goal[s], lam[s] if math.isfinite(lam[s]) else None) for s in sorted(goal)], "skey string, m_source_size long, goal double, lam double")
+    by_source = common.sized(by_source, len(goal))
     rated = counts.join(by_source, "skey").withColumn("rate", F.coalesce(_rate(F.col("lam"), F.col("size"), cap), F.lit(float(cap))))
     spread = rated.select("skey", "size", "n", "rate", "goal").groupBy("skey").applyInPandas(lambda pdf: _diffuse(pdf, cap), "skey string, size long, copies long")
     plan = counts.select("skey", "size", "n").join(spread, ["skey", "size"])

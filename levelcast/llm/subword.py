@@ -128,9 +128,10 @@ class Model:
 
 
 def train(y: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], share: float, seed: int = 0) -> Model:
-    """Fit by minibatch gradient descent with adaptive steps (AdaGrad); classes weigh alike.
+    """Fit by minibatch gradient descent with adaptive steps (AdaGrad).
 
-    ``share``: class 1's share of all labels; the bias is moved from the sample's odds to it.
+    Classes weigh alike, so a score is the probability at even odds. With one class only,
+    every score is ``share``, class 1's share of all labels.
     """
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.3, (BUCKETS, WIDTH)).astype(np.float32)
@@ -160,8 +161,7 @@ def train(y: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], share:
             out -= rate * grad_out / np.sqrt(seen_out)
             seen_bias += grad_bias**2
             bias -= rate * grad_bias / np.sqrt(seen_bias)
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    return Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0] + np.log(share / (1 - share))))
+    return Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = labelled.MOST_PER_CLASS) -> Model:

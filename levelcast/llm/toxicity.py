@@ -106,11 +106,13 @@ def screened(y: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
 
 
 def train(y: np.ndarray, ids: list[np.ndarray], share: float, seed: int = 0) -> Model:
-    """Fit on the screened buckets; classes weigh alike, the bias is moved to ``share``, class 1's share of all labels."""
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    prior = float(np.log(share / (1 - share)))
+    """Fit on the screened buckets; classes weigh alike, so a score is the probability at even odds.
+
+    With one class only, every score is ``share``, class 1's share of all labels.
+    """
     if not len(y) or y.min() == y.max():
-        return Model({}, np.zeros(0), np.zeros((0, WIDTH)), prior)
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        return Model({}, np.zeros(0), np.zeros((0, WIDTH)), float(np.log(share / (1 - share))))
     kept = screened(y, ids)
     rows = {int(b): i for i, b in enumerate(kept)}
     x = np.zeros((len(y), len(kept)), np.float32)
@@ -137,7 +139,7 @@ def train(y: np.ndarray, ids: list[np.ndarray], share: float, seed: int = 0) ->
             linear -= rate * grad / np.sqrt(seen)
             vectors -= rate * grad_v / np.sqrt(seen_v)
             bias -= rate * off.sum() / np.sqrt(seen_b)
-    return Model(rows, linear, vectors, float(bias) + prior)
+    return Model(rows, linear, vectors, float(bias))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = labelled.MOST_PER_CLASS) -> Model:
