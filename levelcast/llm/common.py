@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="levelcast-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(base)
     return base
 
@@ -43,6 +46,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application has staged; results that still read them must have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/levelcast/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(side: DataFrame, rows: int) -> DataFrame:
     """``side`` marked for broadcast if its counted ``rows`` are few, else unchanged (shuffle join)."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side

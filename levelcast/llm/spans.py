@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
@@ -21,10 +22,22 @@ def joined(spans: Iterable[Span]) -> str:
 
 def apart(spans: Sequence[Span], taken: Sequence[Span]) -> list[Span]:
     """The ``spans`` that overlap none of ``taken`` and none chosen before them."""
+    starts: list[int] = []  # disjoint stretches in use, in order
+    ends: list[int] = []
+    for _, a, b in sorted(taken, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     chosen: list[Span] = []
     for s in spans:
-        if all(s[2] <= t[1] or t[2] <= s[1] for t in [*taken, *chosen]):
-            chosen.append(s)
+        i = bisect_left(starts, s[2])  # the stretches before i begin before the span ends
+        if i and ends[i - 1] > s[1]:
+            continue
+        chosen.append(s)
+        starts.insert(i, s[1])
+        ends.insert(i, s[2])
     return chosen
 
 

@@ -54,3 +54,15 @@ def test_every_query_is_registered():
     names = list(queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(tokenizer_files()) == {"json_path", "ranks_path", "pattern"}
+
+
+def test_staged_tables_can_be_released(spark):
+    import os
+
+    from levelcast.llm import common
+
+    table = common.staged(spark.range(5).toDF("x"), "test")
+    folder = f"{common.shared_dir(spark)}/levelcast/{spark.sparkContext.applicationId}"
+    assert table.count() == 5 and os.path.isdir(folder)
+    common.release(spark)
+    assert not os.path.exists(folder)

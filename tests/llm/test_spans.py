@@ -91,3 +91,16 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert pii.pii_report(empty(spark)).count() == secrets.secrets_report(empty(spark)).count() == pii.redacted(empty(spark)).count() == 0
+
+
+def test_apart_equals_the_plain_rule():
+    import random
+
+    random.seed(4)
+    for _ in range(300):
+        make = lambda n: [("k", a, a + random.randint(1, 6)) for a in (random.randint(0, 60) for _ in range(n))]
+        taken, more, chosen = make(random.randint(0, 6)), make(12), []
+        for s in more:
+            if all(s[2] <= t[1] or t[2] <= s[1] for t in [*taken, *chosen]):
+                chosen.append(s)
+        assert spans.apart(more, taken) == chosen
