@@ -120,7 +120,7 @@ def common_draws(df: DataFrame, sample: str, n: int, by: Sequence[str] = (), str
     """The ``n`` samples with the smallest hashes, renumbered from 0; the same for every group of ``by``."""
     from pyspark.sql import Window
 
-    ids = df.select(sample).distinct()
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(stream), F.col(sample)), sample)) - 1
-    few = ids.withColumn("_new", rank).filter(F.col("_new") < n)
+    order = [F.xxhash64(F.lit(stream), F.col(sample)), F.col(sample)]
+    few = df.select(sample).distinct().orderBy(*order).limit(n)
+    few = few.withColumn("_new", F.row_number().over(Window.orderBy(*order)) - 1)
     return df.join(F.broadcast(few), sample).withColumn(sample, F.col("_new")).drop("_new")

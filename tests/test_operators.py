@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from levelcast.functions import constants as C
-from levelcast.operators import aggregate, align, bayes, blend, decision, kinematics, mixture, project, regress, resample, sequence
+from levelcast.operators import aggregate, align, bayes, blend, decision, derive, kinematics, mixture, project, regress, resample, sequence
 
 
 def frame(spark, **cols):
@@ -217,3 +217,65 @@ def test_history_keeps_the_scenario(spark):
     assert got.temp.tolist() == [1.0, 2.0, 2.1]
     with pytest.raises(ValueError):
         resample.merged_resolutions([], ["v"])
+
+
+def test_unscaled_coefficients(spark, years):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(3, 2, 120), rng.normal(-1, 5, 120)
+    df = frame(spark, series=["s"] * 120, a=a, b=b, y=2 * a - 0.5 * b + 7)
+    scaled = derive.standardised(df, ["a", "b"], ["series"])
+    coefs = {r.term: r.coef for r in regress.linear(scaled, "y", ["a", "b"], ["series"]).collect()}
+    first = scaled.first()
+    got = derive.unscaled(coefs, {c: first[f"{c}_mean"] for c in "ab"}, {c: first[f"{c}_scale"] for c in "ab"})
+    assert got == pytest.approx({"a": 2, "b": -0.5, "const": 7})
+
+
+def test_leave_future_out_prefers_the_true_degree(spark):
+    rng = np.random.default_rng(10)
+    t = 1950.0 + np.arange(60)
+    df = frame(spark, k=["a"] * 60, t=t, y=0.01 * (t - 1950) ** 2 + rng.normal(0, 0.2, 60))
+    ends = spark.createDataFrame([(1985.0,), (1995.0,)], "end double")
+    rmse = {d: derive.leave_future_out(df, "y", "t", ["k"], ends, d).toPandas().rmse.mean() for d in (1, 2)}
+    assert rmse[2] < rmse[1]
+    p = derive.degree_probabilities(df, "y", "t", ["k"]).toPandas().set_index("degree").probability
+    assert p[2] > 0.5 and p.sum() == pytest.approx(1)
+
+
+def test_model_choice(spark, years):
+    rng = np.random.default_rng(11)
+    f = forcing(years)
+    df = frame(spark, series=["s"] * 120, t=years, temp=f, rate=3 * f**2 + f + 0.05 * rng.normal(size=120))
+    assert regress.nonlinearity(df, "rate", "temp", ["series"]).first().recommended == 2
+    level = frame(spark, series=["s"] * 120, t=years, temp=f, level=trapezoid(years, 3 * f**2 + f))
+    assert regress.model_selection(level, "t", "level", "temp", ["series"]).first().recommended == "quadratic"
+
+
+def test_skew_normal_fit_recovers_quantiles(spark):
+    from levelcast.functions import stats
+
+    qs = (0.05, 0.17, 0.5, 0.83, 0.95)
+    row = [0.3 + 0.1 * stats.skew_normal_quantile(q, 3.0) for q in qs]
+    df = spark.createDataFrame([("x", *row)], "k string, " + ", ".join(f"q{i} double" for i in range(5)))
+    got = regress.skew_normal_fit(df, ["k"], [(q, f"q{i}") for i, q in enumerate(qs)]).first()
+    assert got.rmse < 1e-4 and got.loc == pytest.approx(0.3, abs=0.01) and got.scale == pytest.approx(0.1, abs=0.01)
+
+
+def test_common_draws_are_the_same_everywhere(spark):
+    df = spark.range(100).selectExpr("id as sample_id").crossJoin(spark.createDataFrame([("a",), ("b",)], "scenario string"))
+    few = mixture.common_draws(df, "sample_id", 10)
+    assert few.count() == 20 and few.agg(F.max("sample_id")).first()[0] == 9
+
+
+def test_hierarchical_shrinks(spark):
+    rng = np.random.default_rng(12)
+    true = rng.normal(2, 0.5, 8)
+    df = frame(spark, series=[f"s{i}" for i in range(8)], slope=true + 0.2 * rng.normal(size=8), slope_se=[0.2] * 8)
+    got = bayes.hierarchical(df, "series", "slope", "slope_se").toPandas().set_index("param")
+    assert got["mean"]["mu"] == pytest.approx(2, abs=0.6) and got["low"]["tau"] > 0
+
+
+def test_time_varying_coefficient(spark):
+    t = np.arange(60.0)
+    df = frame(spark, k=["a"] * 60, t=t, y=2.0 + 0.0 * t, one=[1.0] * 60, s=[0.1] * 60)
+    got = bayes.dynamic_linear(df, "y", ["one"], "t", ["k"], "s", 20).toPandas()
+    assert got["mean"].to_numpy() == pytest.approx(2.0, abs=0.2)
