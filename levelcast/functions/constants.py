@@ -4,6 +4,8 @@ Internal units are metres, degrees Celsius and decimal years; a positive value i
 of the level.
 """
 
+import math
+
 OCEAN_AREA_M2 = 3.625e14
 GT_PER_MM = 362.5
 GT_TO_M = 1.0 / 362_500.0
@@ -21,15 +23,15 @@ ICE_DENSITY = 917.0
 SIGN_TAGS = ("slr", "glaciology", "storage")
 MAX_ABS_LEVEL_M = 2.0
 EARTH_RADIUS_M = 6_371_000.0
-"""Damage knots: level in metres, annual cost in billions of dollars."""
+# Damage knots, level in metres and annual cost in billions of dollars.
 DAMAGE_KNOTS_M = (0.0, 0.2, 0.52, 0.63, 0.86, 1.8)
 DAMAGE_KNOTS_BUSD = (0.0, 1000.0, 10200.0, 11700.0, 14000.0, 27000.0)
 CAPITAL_PER_M_BUSD, DISCOUNT, HORIZON_YEARS, P_STABLE = 4000.0, 0.03, 75, 0.10
-"""Instability scenarios: weight, 5th and 95th percentile in mm, log-space shape, exponent's log-location and log-scale."""
+# Instability scenarios with weight, 5th and 95th percentile in mm, log-space shape, exponent's log-location and log-scale.
 INSTABILITY = {
     "S1": (0.10, 25.0, 85.0, 0.0, 0.0, 0.0),
-    "S2": (0.80, 150.0, 1000.0, 4.0, 0.5877866649021191, 0.3),
-    "S3": (0.10, 600.0, 1300.0, -3.0, 0.7884573603642703, 0.3),
+    "S2": (0.80, 150.0, 1000.0, 4.0, math.log(1.8), 0.3),
+    "S3": (0.10, 600.0, 1300.0, -3.0, math.log(2.2), 0.3),
 }
 RHEOLOGY_MEAN, RHEOLOGY_SIGMA, RHEOLOGY_SLOPE = 1.28, 0.07, 0.28
 EXPONENT_MEAN, EXPONENT_SIGMA, EXPONENT_REF = 4.1, 0.4, 3.0
