@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, nndescent, packing, pii, quality, secrets, simhash, subword, toxicity
+from . import licenses, mixing, nndescent, oracles, packing, pii, quality, secrets, simhash, subword, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,4 +86,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
