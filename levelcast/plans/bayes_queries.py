@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bayes, kinematics, regress, resample
-from . import fixtures as X
 from .fixtures import rounded
 from .model_queries import grid, joined
 from .registry import register
