@@ -55,9 +55,9 @@ def total_alternative_component(spark, sf):
     return out.select(*on, rounded("value").alias("value"))
 
 
-@register("exceedance", f"WITH {ENS}, {TOTAL} SELECT scenario, year, {r('100 * avg(CASE WHEN value > 1.0 - 0.19 THEN 1e0 ELSE 0 END)')} AS over_1, {r('100 * avg(CASE WHEN value > 2.0 - 0.19 THEN 1e0 ELSE 0 END)')} AS over_2 FROM total GROUP BY 1, 2")
+@register("exceedance", f"WITH {ENS}, {TOTAL} SELECT scenario, year, {r('100 * avg(CASE WHEN value > 1.0037 - 0.19 THEN 1e0 ELSE 0 END)')} AS over_1, {r('100 * avg(CASE WHEN value > 2.0037 - 0.19 THEN 1e0 ELSE 0 END)')} AS over_2 FROM total GROUP BY 1, 2")
 def exceedance(spark, sf):
-    out = aggregate.exceedance(_total(spark, sf), "value", ["scenario", "year"], {"over_1": 1.0, "over_2": 2.0}, 0.19)
+    out = aggregate.exceedance(_total(spark, sf), "value", ["scenario", "year"], {"over_1": 1.0037, "over_2": 2.0037}, 0.19)
     return out.select("scenario", "year", rounded("over_1").alias("over_1"), rounded("over_2").alias("over_2"))
 
 
@@ -210,7 +210,7 @@ def decision_cost_grid(spark, sf):
     return out.select("scenario", "year", rounded("design").alias("design"), rounded("cost", 4).alias("cost"))
 
 
-@register("decision_optimal_defence", f"""WITH {ENS}, {TOTAL}, {_SAMPLES}, d AS (SELECT (range * 0.02)::DOUBLE AS design FROM range(0, 200)),
+@register("decision_optimal_defence", f"""WITH {ENS}, {TOTAL}, {_SAMPLES}, d AS (SELECT (range::DOUBLE * 0.02::DOUBLE) AS design FROM range(0, 200)),
  c AS (SELECT scenario, year, design, {ADAPT!r} * design + avg({dmg('greatest(value - design, 0)')}) AS cost FROM s, d GROUP BY 1, 2, 3)
  SELECT scenario, year, {r('arg_min(design, (round(cost, 7), design))')} AS design, {r('min(cost)', 4)} AS cost FROM c GROUP BY 1, 2""")
 def decision_optimal_defence(spark, sf):
@@ -219,7 +219,7 @@ def decision_optimal_defence(spark, sf):
     return out.select("scenario", "year", rounded("design").alias("design"), rounded("cost", 4).alias("cost"))
 
 
-_INFO = f"""WITH {ENS}, {TOTAL}, {_SAMPLES}, d AS (SELECT (0.3 + range * 0.05)::DOUBLE AS design FROM range(0, 54)),
+_INFO = f"""WITH {ENS}, {TOTAL}, {_SAMPLES}, d AS (SELECT (0.3::DOUBLE + range::DOUBLE * 0.05::DOUBLE) AS design FROM range(0, 54)),
  f AS (SELECT * FROM s WHERE scenario <> 'view'), st AS (SELECT scenario, year, sample_id, value * 0.6 AS value FROM f),
  q AS (SELECT scenario, year, quantile_cont(value, 0.9) AS q90, quantile_cont(value, 0.975) AS q975 FROM st GROUP BY 1, 2),
  k AS (SELECT scenario, year, count(*) FILTER (value > q975) >= 20 AS many FROM f JOIN q USING (scenario, year) GROUP BY 1, 2),
@@ -250,9 +250,9 @@ def decision_value_surface(spark, sf):
     return decision.value_surface(t, "evpi", arrivals).select("target", "arrival", rounded("voi", 5).alias("voi"))
 
 
-@register("decision_stability_surface", f"""WITH {ENS}, {TOTAL}, {_SAMPLES}, d AS (SELECT (0.3 + range * 0.05)::DOUBLE AS design FROM range(0, 54)),
+@register("decision_stability_surface", f"""WITH {ENS}, {TOTAL}, {_SAMPLES}, d AS (SELECT (0.3::DOUBLE + range::DOUBLE * 0.05::DOUBLE) AS design FROM range(0, 54)),
  a AS (SELECT design, {ADAPT!r} * design + avg({dmg('greatest(value * 0.6 - design, 0)')}) AS a FROM s, d GROUP BY 1), b AS (SELECT design, {ADAPT!r} * design + avg({dmg('greatest(value - design, 0)')}) AS b FROM s, d GROUP BY 1),
- g AS (SELECT p, greatest(min(p * a + (1 - p) * b) - (p * min(a) + (1 - p) * min(b)), 0) AS e FROM a JOIN b USING (design), (SELECT (0.1 * range)::DOUBLE AS p FROM range(1, 10)) GROUP BY 1)
+ g AS (SELECT p, greatest(min(p * a + (1 - p) * b) - (p * min(a) + (1 - p) * min(b)), 0) AS e FROM a JOIN b USING (design), (SELECT (range::DOUBLE * 0.1::DOUBLE) AS p FROM range(1, 10)) GROUP BY 1)
  SELECT {r('p')} AS p, arrival, {r('e * (1 - power(1.03, arrival - 2100)) / 0.03 / 1000', 5)} AS voi FROM g, (SELECT (2030 + 20 * range)::INT AS arrival FROM range(0, 3))""")
 def decision_stability_surface(spark, sf):
     s = _samples(spark, sf)
@@ -262,11 +262,11 @@ def decision_stability_surface(spark, sf):
     return out.select(rounded("p").alias("p"), "arrival", rounded("voi", 5).alias("voi"))
 
 
-@register("decision_threshold_surface", f"""WITH {ENS}, {TOTAL}, {_SAMPLES}, h AS (SELECT (0.2 + 0.25 * range)::DOUBLE AS threshold FROM range(0, 10)), x AS (SELECT threshold, 100 * (avg((value > threshold)::INT) - avg((value * 0.6 > threshold)::INT)) AS dx FROM s, h GROUP BY 1)
+@register("decision_threshold_surface", f"""WITH {ENS}, {TOTAL}, {_SAMPLES}, h AS (SELECT (0.203::DOUBLE + 0.25::DOUBLE * range::DOUBLE) AS threshold FROM range(0, 10)), x AS (SELECT threshold, 100 * (avg((value > threshold)::INT) - avg((value * 0.6 > threshold)::INT)) AS dx FROM s, h GROUP BY 1)
  SELECT {r('threshold')} AS threshold, arrival, {r('dx')} AS delta_exceedance, {r(f"dx / 100 * {dmg('threshold')} * (1 - power(1.03, arrival - 2100)) / 0.03 / 1000", 5)} AS voi FROM x, (SELECT (2030 + 20 * range)::INT AS arrival FROM range(0, 3))""")
 def decision_threshold_surface(spark, sf):
     s = _samples(spark, sf)
-    thresholds = spark.range(10).select((0.2 + 0.25 * F.col("id")).alias("threshold"))
+    thresholds = spark.range(10).select((0.203 + 0.25 * F.col("id")).alias("threshold"))
     arrivals = spark.range(3).select((2030 + 20 * F.col("id")).cast("int").alias("arrival"))
     out = decision.threshold_surface(s, s.withColumn("value", F.col("value") * 0.6), "value", thresholds, arrivals)
     return out.select(rounded("threshold").alias("threshold"), "arrival", rounded("delta_exceedance").alias("delta_exceedance"), rounded("voi", 5).alias("voi"))
@@ -285,7 +285,7 @@ def gaussian_smoothing(spark, sf):
 # densities
 
 
-@register("density_kernel", f"""WITH {ENS}, h AS (SELECT scenario, stddev_samp(value) * power(count(*), -0.2) AS h FROM ens GROUP BY 1), x AS (SELECT (range * 0.05)::DOUBLE AS x FROM range(0, 40))
+@register("density_kernel", f"""WITH {ENS}, h AS (SELECT scenario, stddev_samp(value) * power(count(*), -0.2) AS h FROM ens GROUP BY 1), x AS (SELECT (range::DOUBLE * 0.05::DOUBLE) AS x FROM range(0, 40))
  SELECT scenario, {r('x')} AS x, {r('avg(exp(-0.5 * power((x - value) / h, 2)) / (h * sqrt(2 * pi())))')} AS density FROM ens JOIN h USING (scenario), x GROUP BY scenario, x.x""")
 def density_kernel(spark, sf):
     out = density.kernel_density(X.ensemble(spark, sf), "value", decision.design_grid(spark, 0.0, 0.05, 40, "x"), ["scenario"])
@@ -298,9 +298,9 @@ def density_histogram(spark, sf):
     return out.select("scenario", "bin", rounded("left").alias("left"), "n", rounded("density").alias("density"))
 
 
-@register("density_exceedance", f"WITH {ENS}, x AS (SELECT (range * 0.1)::DOUBLE AS x FROM range(0, 20)) SELECT scenario, {r('x')} AS x, {r('100 * avg((value > x)::INT)')} AS exceed FROM ens, x GROUP BY scenario, x.x")
+@register("density_exceedance", f"WITH {ENS}, x AS (SELECT (0.013::DOUBLE + range::DOUBLE * 0.1::DOUBLE) AS x FROM range(0, 20)) SELECT scenario, {r('x')} AS x, {r('100 * avg((value > x)::INT)')} AS exceed FROM ens, x GROUP BY scenario, x.x")
 def density_exceedance(spark, sf):
-    out = density.exceedance_curve(X.ensemble(spark, sf), "value", decision.design_grid(spark, 0.0, 0.1, 20, "x"), ["scenario"])
+    out = density.exceedance_curve(X.ensemble(spark, sf), "value", decision.design_grid(spark, 0.013, 0.1, 20, "x"), ["scenario"])
     return out.select("scenario", rounded("x").alias("x"), rounded("exceed").alias("exceed"))
 
 
@@ -338,7 +338,7 @@ def skill_pit(spark, sf):
     return skill.probability_integral(t, o, "value", ["scenario", "year"]).select("scenario", "year", rounded("pit").alias("pit"))
 
 
-@register("skill_coverage_curve", f"{_SKILL}, p AS (SELECT scenario, year, avg((value < o)::INT) AS pit FROM total JOIN o USING (scenario, year) GROUP BY 1, 2) SELECT {r('level')} AS level, {r('avg((pit BETWEEN (1 - level) / 2 AND (1 + level) / 2)::INT)')} AS coverage FROM p, (SELECT (range * 0.1)::DOUBLE AS level FROM range(1, 10)) l GROUP BY l.level")
+@register("skill_coverage_curve", f"{_SKILL}, p AS (SELECT scenario, year, avg((value < o)::INT) AS pit FROM total JOIN o USING (scenario, year) GROUP BY 1, 2) SELECT {r('level')} AS level, {r('avg((pit BETWEEN (1 - level) / 2 AND (1 + level) / 2)::INT)')} AS coverage FROM p, (SELECT (range::DOUBLE * 0.1::DOUBLE) AS level FROM range(1, 10)) l GROUP BY l.level")
 def skill_coverage_curve(spark, sf):
     t, o = _skill(spark, sf)
     levels = spark.range(1, 10).select((F.col("id") * 0.1).alias("level"))
