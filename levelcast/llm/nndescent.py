@@ -5,8 +5,9 @@ so far of each node) starts from blocks of several orders of the nodes by random
 signatures, and is refined as in NN-descent (Dong et al., 2011): the neighbours of a node, in
 either direction, are compared with one another, and each keeps what is nearer than its
 farthest. A node whose whole list is above the threshold is saturated; its list is doubled, up
-to ``LIST_MOST``. The edges above the threshold make components. Whatever the lists could not
-hold is settled exactly: within each component all nodes are compared, in blocks. Finally a
+to ``LIST_MOST``. Of all pairs above the threshold that a block or a neighbourhood compared, also
+those that no list has room for, a spanning forest is kept; these edges make components. Counts
+are exact: within each component all nodes are compared, in blocks. Finally a
 bounded sample of nodes is compared with all nodes; links it shows to be missing are added,
 and below the wanted recall further rounds follow with other orders and longer lists.
 
@@ -48,6 +49,25 @@ def unit(blobs: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a spanning forest of a symmetric boolean matrix: it joins whatever the matrix joins."""
+    free = near.any(axis=1)
+    a, b = [], []
+    for root in np.flatnonzero(free).tolist():
+        if not free[root]:
+            continue
+        free[root] = False
+        front = [root]
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(near[i] & free).tolist()
+            free[new] = False
+            a += [i] * len(new)
+            b += new
+            front += new
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _grouped(df: DataFrame, key: list[str], each: Callable[[dict[str, np.ndarray | list]], Iterator[tuple]], names: list[str], schema: str) -> DataFrame:
     """``each`` on every group of consecutive equal ``key``, streamed; a group is held whole."""
     at = [df.columns.index(k) for k in key]
@@ -128,8 +148,8 @@ def orders(n: int, threshold: float) -> int:
     return max(2, math.ceil(math.log(MISSED) / math.log(1 - p))) if p < 1 else 2
 
 
-def _started(nodes: DataFrame, kind: str, count: int, first: int, keep: int) -> DataFrame:
-    """(node, nbr, sim): the nearest within the blocks of ``count`` orders, those from number ``first`` on."""
+def _started(nodes: DataFrame, kind: str, threshold: float, count: int, first: int, keep: int) -> DataFrame:
+    """(node, nbr, sim, link): the nearest within the blocks of ``count`` orders, those from number ``first`` on; marked ``link``, a forest of each block's pairs at or above the threshold."""
 
     def make():
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -161,7 +181,7 @@ def _started(nodes: DataFrame, kind: str, count: int, first: int, keep: int) ->
             by: dict[tuple[int, int], list[int]] = {}
             for i, r in enumerate(rows):
                 by.setdefault(r[:2], []).append(i)
-            a, b, s = [], [], []
+            a, b, s, link = [], [], [], []
             for at in by.values():
                 if len(at) < 2:
                     continue
@@ -174,7 +194,13 @@ def _started(nodes: DataFrame, kind: str, count: int, first: int, keep: int) ->
                 a.append(np.repeat(node, k))
                 b.append(node[best].ravel())
                 s.append(np.take_along_axis(sim, best, axis=1).ravel())
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, s)], names=["node", "nbr", "sim"]) if a else None
+                link.append(np.zeros(best.size, bool))
+                i, j = _forest(sim >= threshold)
+                a.append(node[i])
+                b.append(node[j])
+                s.append(sim[i, j])
+                link.append(np.ones(len(i), bool))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, s, link)], names=["node", "nbr", "sim", "link"]) if a else None
 
         for batch in batches:
             held += zip(*(batch.column(c).to_pylist() for c in ("t", "dim", "node", "blob")), strict=True)
@@ -185,7 +211,7 @@ def _started(nodes: DataFrame, kind: str, count: int, first: int, keep: int) ->
         if held and (found := block(held)) is not None:
             yield found
 
-    return ordered.select("t", "dim", "node", "blob").mapInArrow(run, "node long, nbr long, sim double")
+    return ordered.select("t", "dim", "node", "blob").mapInArrow(run, "node long, nbr long, sim double, link boolean")
 
 
 def _shortened(pairs: DataFrame, lengths: DataFrame | None, keep: int) -> DataFrame:
@@ -197,8 +223,8 @@ def _shortened(pairs: DataFrame, lengths: DataFrame | None, keep: int) -> DataFr
     return ranked.filter("rank <= k").select("node", "nbr", "sim", "k")
 
 
-def _descended(lists: DataFrame, nodes: DataFrame, kind: str, threshold: float, keep: int) -> tuple[DataFrame, float]:
-    """One round of NN-descent: the new lists, and the share of places that changed."""
+def _descended(lists: DataFrame, nodes: DataFrame, kind: str, threshold: float, keep: int) -> tuple[DataFrame, float, DataFrame]:
+    """One round of NN-descent: the new lists, the share of places that changed, and (a, b), a forest of each neighbourhood's pairs at or above the threshold."""
     state = lists.groupBy("node").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("held"), F.max("k").alias("k"))
     # a saturated list is doubled; one with free places takes whatever comes
     state = state.withColumn("k", F.when((F.col("held") >= F.col("k")) & (F.col("least") >= threshold), F.least(F.col("k") * 2, F.lit(LIST_MOST))).otherwise(F.col("k")))
@@ -217,14 +243,22 @@ def _descended(lists: DataFrame, nodes: DataFrame, kind: str, threshold: float,
         better = sim > least[:, None]
         np.fill_diagonal(better, False)
         i, j = np.nonzero(better)
-        if len(i):
-            yield u[i], u[j], sim[i, j]
-
-    found = _grouped(met.select("v", "u", "least", "blob"), ["v"], each, ["node", "nbr", "sim"], "node long, nbr long, sim double")
-    found = common.staged(found.groupBy("node", "nbr").agg(F.max("sim").alias("sim")).join(lists.select("node", "nbr"), ["node", "nbr"], "left_anti"), "nn-found")
+        near = sim >= threshold
+        np.fill_diagonal(near, False)
+        p, q = _forest(near)
+        if len(i) + len(p):
+            yield np.concatenate([u[i], u[p]]), np.concatenate([u[j], u[q]]), np.concatenate([sim[i, j], sim[p, q]]), np.arange(len(i) + len(p)) >= len(i)
+
+    found = _grouped(met.select("v", "u", "least", "blob"), ["v"], each, ["node", "nbr", "sim", "link"], "node long, nbr long, sim double, link boolean")
+    found = found.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.max("link").alias("link"), F.min("link").alias("only"))
+    known = lists.select("node", "nbr", F.lit(True).alias("known"))
+    found = found.join(known, ["node", "nbr"], "left").withColumn("new", F.col("known").isNull() & ~F.col("only")).filter("new or link")
+    found = common.staged(found.select("node", "nbr", "sim", "link", "new"), "nn-found")
+    links = found.filter("link").select(F.col("node").alias("a"), F.col("nbr").alias("b"))
+    found = found.filter("new").select("node", "nbr", "sim")
     fresh = common.staged(_shortened(lists.select("node", "nbr", "sim").unionByName(found), state.select("node", "k"), keep), "nn-lists")
     changed = fresh.join(found.select("node", "nbr"), ["node", "nbr"], "left_semi").count()
-    return fresh, changed / max(1, fresh.count())
+    return fresh, changed / max(1, fresh.count()), links
 
 
 def _counted(nodes: DataFrame, components: DataFrame, kind: str, threshold: float) -> DataFrame:
@@ -299,14 +333,15 @@ def near_duplicates(rows: DataFrame, column: str = "embedding", threshold: float
     count, keep, first = orders(n, threshold), LIST, 0
     pairs, edges, recall = None, None, 1.0
     for attempt in range(TRIES):
-        more = _started(nodes, kind, count, first, keep)
+        met = common.staged(_started(nodes, kind, threshold, count, first, keep), "nn-started")
+        more, own = met.filter("not link").select("node", "nbr", "sim"), met.filter("link").select(F.col("node").alias("a"), F.col("nbr").alias("b"))
         lists = common.staged(_shortened(more if pairs is None else pairs.unionByName(more), None, keep), "nn-lists")
         for _ in range(ROUNDS):
-            lists, changed = _descended(lists, nodes, kind, threshold, keep)
+            lists, changed, links = _descended(lists, nodes, kind, threshold, keep)
+            own = own.unionByName(links)
             if changed < SETTLED:
                 break
         pairs = lists.select("node", "nbr", "sim")
-        own = lists.filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("nbr").alias("b"))
         edges = common.staged(own if edges is None else edges.unionByName(own), "nn-edges")
         components = common.staged(connected_components(edges), "nn-components")
         audit = common.staged(_audited(nodes, kind, threshold), "nn-audit")

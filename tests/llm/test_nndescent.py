@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from levelcast.llm import nndescent
 
@@ -51,6 +52,37 @@ def test_a_group_larger_than_any_list(spark):
     assert (group.n_links >= 1499).all() and (group.component_id == 0).all()
 
 
+def two_saturated_groups():
+    """Two groups of 200 different vectors, cosine at least 0.99 inside each and about 0.96 across."""
+    rng = np.random.default_rng(3)
+    middle, apart = np.eye(32)[0], np.eye(32)[1]
+    angle = np.arccos(0.96) / 2
+    out = []
+    for side in (-1, 1):
+        base = np.cos(angle) * middle + side * np.sin(angle) * apart
+        for _ in range(200):
+            noise = rng.normal(size=32) * (np.arange(32) > 1)
+            out.append((base + 0.04 * noise / np.sqrt(noise @ noise)).tolist())
+    return [(i, v, 0) for i, v in enumerate(out)]
+
+
+def test_saturated_groups_joined_by_weaker_links_only(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "_audited", lambda nodes, *_: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    rows = two_saturated_groups()
+    found = nndescent.near_duplicates(table(spark, rows))[0].toPandas().sort_values("vec_id")
+    links, comp = brute([r[0] for r in rows], [r[1] for r in rows])
+    assert min(links) == 399 and set(comp) == {0}
+    assert found.n_links.tolist() == links and found.component_id.tolist() == comp
+
+
+def test_a_forest_joins_what_the_matrix_joins():
+    near = np.zeros((7, 7), bool)
+    for i, j in [(0, 3), (3, 5), (5, 0), (1, 6)]:
+        near[i, j] = near[j, i] = True
+    a, b = nndescent._forest(near)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 3), (0, 5), (1, 6)]
+
+
 def test_repeated_rows_and_null_ids(spark):
     found = nndescent.near_duplicates(table(spark, [(1, [1.0, 0.0], 0)] * 3 + [(None, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)]))[0].toPandas()
     assert sorted(found.n_links) == [0, 3, 3, 3, 3] and found[found.vec_id != 2].component_id.eq(1).all()
