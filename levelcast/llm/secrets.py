@@ -3,11 +3,14 @@
 A candidate is a long run of identifier characters. A compressor primed with a dictionary of
 common identifiers and with the text around the candidate measures the bytes that the
 candidate adds. Words, identifiers, repeats and anything said nearby compress away; a random
-key does not. An incompressible candidate in a sensitive context is reported.
+key does not. An incompressible candidate in a sensitive context is reported. Where copies of
+the candidate itself are nearby, it is measured again without them, also against its shuffled
+characters: a random key stays incompressible, so one said twice is reported at both places.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Callable
 
@@ -22,6 +25,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Candidates: runs of so many characters at least, with a digit, and not of digits alone.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What parts of a candidate lie between, and from how many characters on a part said alone is a copy.
+PART, LONG_PART = re.compile(r"[/+_=-]+"), 16
 #: Parts of lower-cased text without which neither the assign pattern nor a sensitive context can occur.
 ASSIGN_PARTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE_PARTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "private", "credential", "signature", "session", "cookie")
@@ -32,6 +37,8 @@ CONTEXT = 64
 AROUND = 2048
 #: Bytes added per character: 1 for a random string, whose characters stay literals; about half for known words run together.
 NOVELTY = 0.7
+#: A string said more than once nearby, as identifiers are, must also add so much of what its shuffled characters add: 1 for a random string.
+REPEATED = 0.9
 #: Common identifiers and code words, fixed values.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
@@ -56,6 +63,13 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], BASE_KINDS.index(s[0])))
 
 
+def _without(text: str, candidate: str) -> str:
+    """``text`` without copies of the candidate or of its long parts."""
+    for own in (candidate.rstrip("="), *(p for p in PART.split(candidate) if len(p) >= LONG_PART)):
+        text = text.replace(own, " ")
+    return text
+
+
 class Novelty:
     """Marginal compressed size of a string after a dictionary of identifiers and its surroundings."""
 
@@ -75,6 +89,21 @@ class Novelty:
         primer, data = after + b" " + before, text[a:b].encode()
         return (self._size(primer, data) - self._size(primer, b"")) / max(1, b - a)
 
+    def reported(self, text: str, a: int, b: int) -> bool:
+        """Whether ``text[a:b]`` is novel, or would be if it were said only here."""
+        if self(text, a, b) >= NOVELTY:
+            return True
+        # longer by the candidate, so that no copy is cut in two before it is left out
+        own, reach = text[a:b], AROUND + b - a
+        sides = text[max(0, a - reach) : a], text[b : b + reach]
+        before, after = (_without(side, own) for side in sides)
+        if (before, after) == sides:
+            return False
+        before, after = before[-AROUND:], after[:AROUND]
+        shuffled = "".join(random.Random(0).sample(own, len(own)))  # the same characters, with nothing to repeat
+        alone, most = (self(before + s + after, len(before), len(before) + len(own)) for s in (own, shuffled))
+        return alone >= NOVELTY and alone >= REPEATED * most
+
 
 def _mixed(s: str) -> bool:
     """Whether a string mixes letters and digits as keys do: letters, at least two digits, eight different characters."""
@@ -95,7 +124,7 @@ def finder() -> Callable[[str], tuple[list[Span], list[Span]]]:
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
             near = text[max(0, a - CONTEXT) : a] + "\n" + text[b : b + CONTEXT]
-            if _mixed(m.group()) and SENSITIVE.search(near) and spans.apart([("novel", a, b)], base) and novelty(text, a, b) >= NOVELTY:
+            if _mixed(m.group()) and SENSITIVE.search(near) and spans.apart([("novel", a, b)], base) and novelty.reported(text, a, b):
                 likely.append(("novel", a, b))
         return base, sorted(base + likely, key=lambda s: (s[1], order[s[0]]))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pandas as pd
@@ -62,6 +63,22 @@ def test_novelty_reports_random_strings_only():
     assert kinds("secret_value12345678 of auth secret_value12345678 and secret_value12345678") == []
 
 
+def test_repeated_keys_are_reported_at_every_place():
+    find = secrets.finder()
+    rng = random.Random(5)
+    key = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(32))
+    filler = " lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod"
+    at = lambda text: [(a, b) for kind, a, b in find(text)[1] if kind == "novel"]
+    for gap in (0, 3, 28, 29, 30, 40):  # copies near, across the end of the window and beyond it
+        text = f"the session credential is {key} ok." + filler * gap + f" the session credential is {key} ok."
+        assert at(text) == [m.span() for m in re.finditer(key, text)] and len(at(text)) == 2, gap
+    assert len(at(f"auth credential v1/{key} then {filler} session credential {key}== ok")) == 2
+    long = "".join(rng.choice("0123456789ABCDEF") for _ in range(64))
+    assert len(at(f"session credential {long} ok {filler} session credential {long} ok")) == 2
+    # words run together stay unreported, said once or twice
+    assert at(f"auth configuration_settings_2024_localhost end {filler} auth configuration_settings_2024_localhost end") == []
+
+
 def test_masking():
     text = "mail a@b.co or +1 (555) 555-0000 now"
     assert spans.masked(text, pii.find(text)[1]) == "mail <email> or <phone> now"
