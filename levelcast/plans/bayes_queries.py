@@ -9,7 +9,8 @@ from .fixtures import rounded
 from .model_queries import grid, joined
 from .registry import register
 
-SHORT = {"walkers": 16, "burn": 100, "keep": 100, "thin": 2}
+#: Chains as long as the reference's usual ones (32 walkers, 2,000 steps of burn-in, 4,000 kept).
+CHAINS = {"walkers": 32, "burn": 2000, "keep": 4000, "thin": 2}
 
 
 def calibration(spark, sf):
@@ -25,38 +26,38 @@ def _summary(posterior):
 
 @register("bayes_level")
 def bayes_level(spark, sf):
-    return _summary(bayes.calibrate(calibration(spark, sf), bayes.level_model, ["series"], **SHORT))
+    return _summary(bayes.calibrate(calibration(spark, sf), bayes.level_model, ["series"], **CHAINS))
 
 
 @register("bayes_state")
 def bayes_state(spark, sf):
-    return _summary(bayes.calibrate(calibration(spark, sf), bayes.state_model, ["series"], **SHORT))
+    return _summary(bayes.calibrate(calibration(spark, sf), bayes.state_model, ["series"], **CHAINS))
 
 
 @register("bayes_thermosteric")
 def bayes_thermosteric(spark, sf):
-    return _summary(bayes.calibrate(calibration(spark, sf), bayes.thermosteric_model, ["series"], moves="mixed", **SHORT))
+    return _summary(bayes.calibrate(calibration(spark, sf), bayes.thermosteric_model, ["series"], moves="mixed", **CHAINS))
 
 
 @register("bayes_thermosteric_two_layers")
 def bayes_thermosteric_two_layers(spark, sf):
-    return _summary(bayes.calibrate(calibration(spark, sf), lambda pdf: bayes.thermosteric_model(pdf, 2), ["series"], moves="mixed", **SHORT))
+    return _summary(bayes.calibrate(calibration(spark, sf), lambda pdf: bayes.thermosteric_model(pdf, 2), ["series"], moves="mixed", **CHAINS))
 
 
 @register("bayes_split_response")
 def bayes_split_response(spark, sf):
-    return _summary(bayes.calibrate(calibration(spark, sf), bayes.split_model, ["series"], **SHORT))
+    return _summary(bayes.calibrate(calibration(spark, sf), bayes.split_model, ["series"], **CHAINS))
 
 
 @register("bayes_discharge")
 def bayes_discharge(spark, sf):
-    return _summary(bayes.calibrate(calibration(spark, sf), bayes.discharge_model, ["series"], ("t", "temp", "ocean", "level", "sigma"), **SHORT))
+    return _summary(bayes.calibrate(calibration(spark, sf), bayes.discharge_model, ["series"], ("t", "temp", "ocean", "level", "sigma"), **CHAINS))
 
 
 @register("bayes_joint")
 def bayes_joint(spark, sf):
     c = calibration(spark, sf).withColumns({"level2": F.col("level") * 0.5, "sigma2": F.col("sigma")})
-    return _summary(bayes.calibrate(c, bayes.joint_model, ["series"], ("t", "temp", "ocean", "level", "sigma", "level2", "sigma2"), **SHORT))
+    return _summary(bayes.calibrate(c, bayes.joint_model, ["series"], ("t", "temp", "ocean", "level", "sigma", "level2", "sigma2"), **CHAINS))
 
 
 @register("bayes_rate")
@@ -64,12 +65,12 @@ def bayes_rate(spark, sf):
     k = kinematics.kinematics(joined(spark, sf), "t_year", "level", "sigma", 2.0, ["series"])
     y = kinematics.one_per_year(k, ["series"]).select("series", "year", F.abs("rate").alias("level"), F.col("rate_se").alias("sigma"))
     f = resample.annual_mean(joined(spark, sf), "temp", by=["series"]).select("series", "year", "temp")
-    return _summary(bayes.calibrate(y.join(f, ["series", "year"]).withColumn("t", F.col("year") + 0.5), bayes.rate_model, ["series"], **SHORT))
+    return _summary(bayes.calibrate(y.join(f, ["series", "year"]).withColumn("t", F.col("year") + 0.5), bayes.rate_model, ["series"], **CHAINS))
 
 
 @register("bayes_dynamic")
 def bayes_dynamic(spark, sf):
-    return _summary(bayes.calibrate_dynamic(joined(spark, sf), "level", "temp", "t_year", ["series"], 1, 1, **SHORT))
+    return _summary(bayes.calibrate_dynamic(joined(spark, sf), "level", "temp", "t_year", ["series"], 1, 1, **CHAINS))
 
 
 @register("bayes_time_varying")
@@ -83,13 +84,13 @@ def bayes_time_varying(spark, sf):
 def bayes_hierarchical(spark, sf):
     levels, forcings = grid(spark, sf)
     fits = regress.simple(levels.join(forcings, "t_year"), "level", "temp", ["series", "forcing"])
-    out = bayes.hierarchical(fits, "series", "slope", "slope_se", ["forcing"], keep=200)
+    out = bayes.hierarchical(fits, "series", "slope", "slope_se", ["forcing"])
     return out.select("forcing", "param", *[rounded(c, 4).alias(c) for c in ("mean", "low", "high")])
 
 
 @register("bayes_posterior_paths")
 def bayes_posterior_paths(spark, sf):
     c = calibration(spark, sf)
-    post = bayes.calibrate(c, bayes.level_model, ["series"], **SHORT)
+    post = bayes.calibrate(c, bayes.level_model, ["series"], **CHAINS)
     paths = bayes.posterior_paths(post, bayes.design_vectors(c, "temp", "t", ["series"]).select("series", "t", "i2", "i1", "i0"), {"a": "i2", "b": "i1", "c": "i0"}, ["series"], "t", 200)
     return paths.groupBy("series", "t").agg(F.percentile("value", [0.05, 0.5, 0.95]).alias("q")).select("series", "t", *[rounded(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
