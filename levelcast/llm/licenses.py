@@ -4,9 +4,11 @@ Everything runs in DataFrame and SQL expressions. The multinomial regression (on
 licence family and one for unknown text) is trained by proximal gradient descent inside one
 SQL expression over the examples, L1-penalised so that most n-grams weigh nothing; its
 temperature is calibrated on examples with words left out, which the training has not seen.
-Paragraphs (lines) that hold a cue word of some template are scored; the family with the
-highest probability is reported if it beats the unknown class and the least probability, and
-if the paragraph contains enough of one of the family's templates.
+Lines that hold a cue word of some template are scored; the family with the highest
+probability is reported if it beats the unknown class and the least probability, and if the
+line contains enough of one of the family's templates. So are overlapping windows of the lines
+of a paragraph (up to a line without letters or digits; comment marks are no words), since
+headers are wrapped; a window counts only if it is confirmed and none of its lines is by itself.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ UNKNOWN = "unknown"
 TEMPLATES = {
     "Apache-2.0": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "spdx license identifier apache 2.0", "distributed under the license is distributed on an as is basis without warranties or conditions of any kind"],
     "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "spdx license identifier mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "GPL-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "spdx license identifier gpl 3.0", "released under the gnu gpl version 3 license"],
+    "GPL-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "spdx license identifier gpl 3.0", "released under the gnu gpl version 3 license", "gnu gpl version 3"],
     "LGPL": ["licensed under the gnu lesser general public license", "this library is free software you can redistribute it under the terms of the gnu lesser general public license", "spdx license identifier lgpl 2.1"],
     "AGPL-3.0": ["licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3.0"],
     "BSD": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "licensed under the bsd 3 clause license", "licensed under the bsd license", "spdx license identifier bsd 3 clause"],
     "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license", "spdx license identifier isc"],
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"],
-    "CC-BY-NC-4.0": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
-    "CC-BY-SA-4.0": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
-    "CC-BY-4.0": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
+    "CC-BY-NC-4.0": ["licensed under cc by nc 4.0", "cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
+    "CC-BY-SA-4.0": ["licensed under cc by sa 4.0", "cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
+    "CC-BY-4.0": ["licensed under cc by 4.0", "cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "Public-Domain": ["this is free and unencumbered software released into the public domain", "released into the public domain without any copyright", "dedicated to the public domain under cc0 1.0 universal license"],
 }
 #: Text that uses the same words and grants nothing, fixed values.
@@ -44,7 +46,9 @@ OTHER = [
     "the creative team released a new film", "the warranty covers two years", "please copy and distribute the leaflet", "mit der lizenz", "sous licence", "bajo licencia", "permission denied by the server",
 ]
 #: Parts of lower-cased text, one of which every template has.
-CUES = ("licen", "copyright", "redistribut", "public domain", "permission")
+CUES = ("licen", "copyright", "redistribut", "public domain", "permission", "gnu ", "gpl", "cc by", "cc-by", "creative commons", "mozilla", "spdx")
+#: Lines of a window of a wrapped paragraph; a window starts at every line.
+WINDOW = 6
 #: Training: iterations, step, L1 penalty. Calibration: temperatures tried.
 STEPS, RATE, L1 = 60, 2.0, 2e-4
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)
@@ -132,9 +136,9 @@ MODEL = "struct<heat:double,vocab:array<string>,model:array<struct<b:double,w:ar
 
 
 def found_paragraphs(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row and ``l_found``: its candidate paragraphs, judged.
+    """The columns ``keep`` of every row and ``l_found``: its candidate lines and confirmed windows, judged.
 
-    Each is a struct of line (from 0), family, p (of the family), similar (the largest share
+    Each is a struct of line (from 0; of a window the first), family, p (of the family), similar (the largest share
     of one of the family's templates) and confirmed. Null and empty texts have none.
     """
     common.missing_columns(docs, "text", *keep)
@@ -144,16 +148,26 @@ def found_paragraphs(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
     model = F.from_json(F.lit(trained(docs.sparkSession)), MODEL)
     wide = docs.select(*keep, F.col("text").cast("string").alias("l_text"))
     has = " or ".join(f"contains(lower(l_text), '{c}')" for c in CUES)
-    lines = f"if({has}, filter(transform(split(l_text, '\\n'), (x, i) -> named_struct('line', i, 'g', if(lower(x) rlike '{'|'.join(CUES)}', {ngrams('x')}, null))), s -> s.g is not null), cast(array() as array<struct<line:int,g:array<string>>>))"
-    wide = wide.withColumn("l_lines", F.expr(lines)).drop("l_text")
+    scored = lambda x, size: f"named_struct('line', i, 'size', {size}, 'g', if(lower({x}) rlike '{'|'.join(CUES)}', {ngrams(x)}, null))"
+    nothing = "cast(array() as array<struct<line:int,size:int,g:array<string>>>)"
+    wide = wide.withColumn("l_split", F.expr(f"if({has.replace('l_text', "translate(l_text, '\n', ' ')")}, split(l_text, '\\n'), cast(array() as array<string>))"))
+    end = "cast(array_position(transform(q, z -> lower(z) rlike '[a-z0-9]'), false) as int)"
+    window = f"transform(array(slice(l_split, i + 1, {WINDOW})), q -> slice(q, 1, if({end} = 0, {WINDOW}, {end} - 1)))[0]"
+    joined = f"transform(array({window}), q -> if(size(q) > 1, {scored("array_join(q, ' ')", 'size(q)')}, null))[0]"
+    lines = f"filter(concat(transform(l_split, (x, i) -> {scored('x', '1')}), transform(l_split, (x, i) -> {joined})), s -> s.g is not null)"
+    wide = wide.withColumn("l_lines", F.coalesce(F.expr(lines), F.expr(nothing))).drop("l_text", "l_split")
     wide = wide.withColumn("l_model", model).withColumn("l_templates", _literal([{"y": y, "g": g} for y, g in zip(owner, grams, strict=True)], "array<struct<y:int,g:array<string>>>")).withColumn("l_names", _literal(families, "array<string>"))
     number = "transform(array_intersect(s.g, l_model.vocab), g -> cast(array_position(l_model.vocab, g) as int))"
     heated = "transform(" + _scores("l_model.model", number) + ", u -> u / l_model.heat)"
-    judged = f"transform(l_lines, s -> named_struct('line', s.line, 'g', s.g, 'p', {_softmax(heated)}))"
+    judged = f"transform(l_lines, s -> named_struct('line', s.line, 'size', s.size, 'g', s.g, 'p', {_softmax(heated)}))"
     wide = wide.withColumn("l_judged", F.expr(judged))
     similar = "array_max(transform(filter(l_templates, t -> t.y = n), t -> size(array_intersect(t.g, s.g)) / size(t.g)))"
-    named = f"transform(l_judged, s -> transform(array(cast(array_position(s.p, array_max(s.p)) as int) - 1), n -> named_struct('line', s.line, 'family', element_at(l_names, n + 1), 'p', array_max(s.p), 'similar', coalesce({similar}, 0D)))[0])"
-    found = f"transform({named}, s -> named_struct('line', s.line, 'family', s.family, 'p', s.p, 'similar', s.similar, 'confirmed', s.family != '{UNKNOWN}' and s.p >= {LEAST_P}D and s.similar >= {LEAST_SIMILAR}D))"
+    named = f"transform(l_judged, s -> transform(array(cast(array_position(s.p, array_max(s.p)) as int) - 1), n -> named_struct('line', s.line, 'size', s.size, 'family', element_at(l_names, n + 1), 'p', array_max(s.p), 'similar', coalesce({similar}, 0D)))[0])"
+    found = f"transform({named}, s -> named_struct('line', s.line, 'size', s.size, 'family', s.family, 'p', s.p, 'similar', s.similar, 'confirmed', s.family != '{UNKNOWN}' and s.p >= {LEAST_P}D and s.similar >= {LEAST_SIMILAR}D))"
+    wide = wide.withColumn("l_all", F.expr(found))
+    # a window gives way to a line of its own that says the same, and to a window over it that says more of it, or as much and begins later
+    same = "l_all, o -> o.confirmed and o.family = s.family and if(o.size = 1, o.line between s.line and s.line + s.size - 1, o.line < s.line + s.size and s.line < o.line + o.size and (o.similar > s.similar or (o.similar = s.similar and o.line > s.line)))"
+    found = f"array_sort(transform(filter(l_all, s -> s.size = 1 or (s.confirmed and not exists({same}))), s -> named_struct('line', s.line, 'family', s.family, 'p', s.p, 'similar', s.similar, 'confirmed', s.confirmed)))"
     return wide.select(*keep, F.coalesce(F.expr(found), F.expr("cast(array() as array<struct<line:int,family:string,p:double,similar:double,confirmed:boolean>>)")).alias("l_found"))
 
 

@@ -65,6 +65,25 @@ def test_families(spark):
     assert [got[i] for i in range(len(TEXTS))] == ["Apache-2.0", "", "CC-BY-SA-4.0,GPL-3.0", "", "MIT", "BSD", "", "MIT", "", "", ""]
 
 
+WRAPPED = {
+    "BSD": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "GPL-3.0": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
+    "MIT": "// Permission is hereby granted, free of charge, to any person\n// obtaining a copy of this software and associated documentation\n// files (the \"Software\"), to deal in the Software",
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_wrapped_headers(spark, family):
+    text = "import os\n\n" + WRAPPED[family] + "\n\nx = 1"
+    got = licenses.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.families, got.n_licenses, got.findings) == (family, 1, f"2:{family}")
+
+
+def test_family_names_are_cues(spark):
+    docs = spark.createDataFrame([(0, "Released under the GNU GPL version 3"), (1, "CC BY 4.0"), (2, "the gnu ran over the hill")], "doc_id long, text string")
+    assert {r.doc_id: r.families for r in licenses.license_report(docs).collect()} == {0: "GPL-3.0", 1: "CC-BY-4.0", 2: ""}
+
+
 def test_the_model_is_sparse_and_right_on_held_examples(model):
     weights = [w for c in model["model"] for w in c["w"]]
     assert sum(w == 0 for w in weights) > len(weights) / 4
