@@ -5,21 +5,30 @@ from __future__ import annotations
 from . import quality
 
 _WORD_GAP = r"[\x20\x09-\x0D]+"
-_RATIOS = {"symbol_ratio": "n_symbols / word_chars", "dup_line_ratio": "n_dup_lines / n_lines", "repeat_ratio": "n_repeat_words / n_words", "stutter_ratio": "n_stutter / n_words"}
+_MEASURES = {
+    "mark_ratio": "(n_marks + 1) / (word_chars + 50)",
+    "word_length": "word_chars / n_words",
+    "sameness": "1 - ln(n_distinct) / ln(n_words + 1)",
+    "stutter_ratio": "(n_stutter + 1) / (n_words + 50)",
+    "dup_line_ratio": "(n_dup_lines + 1) / (n_lines + 2)",
+}
 
 
 def quality_sql() -> str:
-    """Counts by unnesting words, sketches as grouped bucket counts, cutoffs and verdicts."""
+    """Counts by unnesting words, sketches as grouped bucket counts, fences and verdicts."""
     g, least = quality.GAMMA, quality.LEAST
-    measures = " UNION ALL ".join(f"SELECT doc_id, lang_key, source_key, '{m}' AS measure, coalesce({e}, 0)::DOUBLE AS x FROM c" for m, e in _RATIOS.items())
-    floors = " ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.MEASURES.items())
+    failed = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
+    measures = " UNION ALL ".join(f"SELECT doc_id, lang_key, source_key, '{m}' AS measure, ({e})::DOUBLE AS x FROM c WHERE NOT {failed}" for m, e in _MEASURES.items())
+    both = ", ".join(f"'{m}'" for m, two in quality.MEASURES.items() if two)
 
     def quantiles(name: str, keys: str) -> str:
         by = f"{keys}, measure" if keys else "measure"
         value = f"CASE WHEN bucket = 0 THEN 0 ELSE {least} * power({g}, bucket) * 2 / ({g} + 1) END"
         cum = f"SELECT {by}, bucket, n, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY ALL)"
-        q = f"SELECT {by}, max(total) AS n, min({value}) FILTER (upto >= 0.25 * total) AS q25, min({value}) FILTER (upto >= 0.75 * total) AS q75 FROM ({cum}) GROUP BY {by}"
-        return f"{name} AS (SELECT {by}, n, greatest(q75 + {quality.FENCE} * (q75 - q25), {quality.SLACK} * q75) AS fence FROM ({q}))"
+        return f"{name} AS (SELECT {by}, max(total) AS n, min({value}) FILTER (upto >= 0.25 * total) AS q25, min({value}) FILTER (upto >= 0.75 * total) AS q75 FROM ({cum}) GROUP BY {by})"
+
+    def drawn(n: str, own: str, parent: str) -> str:
+        return f"({n} * {own} + {quality.PRIOR} * {parent}) / ({n} + {quality.PRIOR})"
 
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '') AS lang_key, coalesce('=' || source, '') AS source_key FROM documents),
  w AS (SELECT *, list_filter(string_split_regex(t, '{_WORD_GAP}'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -27,15 +36,18 @@ def quality_sql() -> str:
  r AS (SELECT doc_id, count(DISTINCT i + k.range) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS often FROM p), range(0, 3) k WHERE often > 1 GROUP BY 1),
  s AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) WHERE ws[i] = ws[i + 1] GROUP BY 1),
  c AS (SELECT doc_id, lang_key, source_key, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines, coalesce(s.n, 0) AS n_stutter FROM w LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)),
+   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines, coalesce(s.n, 0) AS n_stutter,
+   length(t) - length(regexp_replace(t, '[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]', '', 'g')) AS n_marks, len(list_distinct(ws)) AS n_distinct FROM w LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)),
  m AS ({measures}),
  sketch AS (SELECT lang_key, source_key, measure, CASE WHEN x <= {least} THEN 0 ELSE ceil(ln(x / {least}) / ln({g}))::INT END AS bucket, count(*) AS n FROM m GROUP BY ALL),
  {quantiles("own", "lang_key, source_key")}, {quantiles("lang", "lang_key")}, {quantiles("every", "")},
- cut AS (SELECT own.lang_key, own.source_key, own.measure, greatest(CASE WHEN own.n >= {quality.MIN_GROUP} THEN own.fence WHEN lang.n >= {quality.MIN_GROUP} THEN lang.fence ELSE every.fence END, CASE own.measure {floors} END) AS cut
-   FROM own JOIN lang ON own.lang_key = lang.lang_key AND own.measure = lang.measure JOIN every ON own.measure = every.measure),
- good AS (SELECT doc_id, bool_and(x <= cut) AS good FROM m JOIN cut USING (lang_key, source_key, measure) GROUP BY 1)
+ l AS (SELECT lang_key, measure, a AS q25, b AS q75, greatest(b - a, ({g} - 1) * b, {quality.PARENT_RANGE} * wide) AS wide
+   FROM (SELECT lang_key, lang.measure, {drawn("lang.n", "lang.q25", "every.q25")} AS a, {drawn("lang.n", "lang.q75", "every.q75")} AS b, greatest(every.q75 - every.q25, ({g} - 1) * every.q75) AS wide FROM lang JOIN every ON lang.measure = every.measure)),
+ cut AS (SELECT lang_key, source_key, measure, a - {quality.FENCE} * greatest(b - a, ({g} - 1) * b, {quality.PARENT_RANGE} * wide) AS low, b + {quality.FENCE} * greatest(b - a, ({g} - 1) * b, {quality.PARENT_RANGE} * wide) AS high
+   FROM (SELECT own.lang_key, source_key, own.measure, {drawn("own.n", "own.q25", "l.q25")} AS a, {drawn("own.n", "own.q75", "l.q75")} AS b, l.wide AS wide FROM own JOIN l ON own.lang_key = l.lang_key AND own.measure = l.measure)),
+ good AS (SELECT doc_id, bool_and(x <= high AND (x >= low OR measure NOT IN ({both}))) AS good FROM m JOIN cut USING (lang_key, source_key, measure) GROUP BY 1)
  SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND good AS kept FROM c JOIN good USING (doc_id)"""
+  {failed} AS base_failed, coalesce(good, false) AS kept FROM c LEFT JOIN good USING (doc_id)"""
 
 
 def embeddings_sql(threshold: float = 0.95) -> str:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
-from levelcast.llm import quality
+from levelcast.llm import common, quality
 from levelcast.llm.queries import op3_quality
 
 from .fixtures import awkward, clashing, empty, prose
@@ -44,6 +44,43 @@ def test_query_counts_and_verdicts(spark):
     assert both.kept[both.quality == 1].mean() > 0.99 and both.kept[both.quality == 0].mean() < 0.05
 
 
+def test_more_measures():
+    n_lines, stutter, marks, distinct = quality.measure("a a, b!\n\n(a) a é a~ a")[5:]
+    assert (n_lines, stutter, marks, distinct) == (2, 0, 5, 6)
+
+
+def cuts_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = docs.select("*", common.key("lang").alias("q_lang"), common.key("source").alias("q_source"))
+    return {r.q_source: r for r in quality.cutoffs(quality.measured(wide, ("q_lang", "q_source"))).collect()}
+
+
+def test_verdicts_change_as_a_groups_data_shift(spark):
+    """The same documents are kept among their like and rejected among others: no constant decides."""
+    marked = lambda k: re.sub(" ", lambda m: "," * (1 + m.start() % 3) + " ", prose(k, 100))
+    same = [(i, marked(i), "en", "x", 1) for i in range(20)]
+    few = [(1000 + i, prose(i, 100).replace(" ", ". ", 5 + i % 9), "en", "x", 1) for i in range(300)]
+    many = [(2000 + i, marked(i + 50), "en", "x", 1) for i in range(300)]
+    kept = [set(quality.kept_documents(spark.createDataFrame(same + rest, "doc_id long, text string, lang string, source string, n_chars long")).toPandas().doc_id) for rest in (few, many)]
+    assert not kept[0] & set(range(20)) and len(kept[1] & set(range(20))) >= 15
+    low, high = (cuts_of(spark, same + rest)["=x"].high_mark_ratio for rest in (few, many))
+    assert low < 0.6 * high
+
+
+def test_every_group_has_its_own_cutoffs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wide = docs.select("*", common.key("lang").alias("q_lang"), common.key("source").alias("q_source"))
+    cuts = quality.cutoffs(quality.measured(wide, ("q_lang", "q_source"))).toPandas()
+    for c in ("high_mark_ratio", "low_word_length", "high_word_length", "high_sameness", "high_stutter_ratio"):
+        assert cuts[c].nunique() > 0.9 * len(cuts)
+
+
+def test_small_groups_follow_their_parents(spark):
+    rows = [(i, prose(i, 100), "en", "big", 1) for i in range(400)] + [(1000 + i, "longwordsofonesort " * 1 + prose(i + 9, 60), "en", "small", 1) for i in range(2)]
+    cuts = cuts_of(spark, rows)
+    assert abs(cuts["=small"].high_word_length / cuts["=big"].high_word_length - 1) < 0.15
+
+
 def test_cutoffs_follow_the_group(spark):
     rows = [(i, prose(i, 100), "en", "plain", 1) for i in range(300)]
     rows += [(1000 + i, re.sub(" ", "# ", prose(i, 100)), "en", "code", 1) for i in range(300)]
