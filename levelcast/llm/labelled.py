@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Labelled rows that a classifier is fitted on at most, of each class.
 MOST_PER_CLASS = 3000
+#: Bytes of their features, of each class; rows beyond are left out, those with the largest hashes first.
+MOST_BYTES = 64 << 20
 #: Different words whose features a task keeps at a time.
 CACHE = 200_000
 
@@ -37,7 +39,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_PER_
 
 
 def gathered(rows: DataFrame, features: Callable[[], Callable[[str], tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Labels, bucket numbers and counts of the sampled rows, in order of doc_id, on the driver."""
+    """Labels, bucket numbers and counts of the sampled rows, in order of doc_id, on the driver: at most MOST_BYTES a class."""
 
     def make():
         look = features()
@@ -48,7 +50,11 @@ def gathered(rows: DataFrame, features: Callable[[], Callable[[str], tuple[np.nd
 
         return each
 
-    table = common.map_arrow(rows, make, "doc_id long, y int, ids binary, counts binary").orderBy("doc_id").toArrow()
+    found = common.staged(common.map_arrow(rows, make, "doc_id long, y int, ids binary, counts binary"), "sample-features")
+    size = (F.length("ids") + F.length("counts")).cast("long")
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fit = common.staged(found.select("doc_id", "y", size.alias("size")).withColumn("upto", upto).filter(F.col("upto") <= MOST_BYTES).select("doc_id"), "sample-fit")
+    table = found.join(F.broadcast(fit), "doc_id", "left_semi").orderBy("doc_id").toArrow()
     y = table.column("y").to_numpy().astype(np.int64)
     return y, [np.frombuffer(b, "<i4") for b in table.column("ids").to_pylist()], [np.frombuffer(b, "<f4") for b in table.column("counts").to_pylist()]
 

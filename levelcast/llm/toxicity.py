@@ -3,9 +3,10 @@
 Terms are words stripped of what is not a letter, and their beginnings; the features of a document are the
 hashed terms that occur in it. A factorization machine (Rendle, 2010) adds to a linear model an
 inner product of learned vectors for each pair of features present, so that an insult beside a
-mention of a group can weigh more than the two by themselves. Buckets are first screened on the
-sample by how unlike the classes' shares are; the machine, linear and pairwise weights both,
-is learned on those by minibatch gradient descent in numpy.
+mention of a group can weigh more than the two by themselves. Every bucket that occurs in enough
+sampled documents, whatever their classes, has a weight and a vector. Both are learned together by
+proximal minibatch gradient descent in numpy: an L1 penalty on the weights and one on the norms
+of the vectors leave most of them zero, and only the others are sent to the executors.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from . import labelled
 BUCKETS, WIDTH = 1 << 18, 4
 #: Beginnings of words that are terms.
 SHORT, LONG = 3, 8
-#: Buckets kept at most, the z-score they need, and the documents of either class they need.
-KEPT, LEAST_Z, LEAST_DF = 2048, 4.0, 3
-EPOCHS, RATE, BATCH, L2 = 40, 0.1, 64, 1e-4
+#: Sampled documents that a bucket must occur in.
+LEAST_DF = 8
+EPOCHS, RATE, BATCH = 15, 0.1, 128
+#: Penalties, per example, of the weights and of the vectors' norms; size of all of a document's vectors at first.
+L1, GROUP_L1, START = 3e-3, 1e-2, 0.5
 #: A score from here up predicts class 1.
 CUT = 0.5
 
@@ -91,55 +94,53 @@ class Model:
         return score
 
 
-def screened(y: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
-    """Buckets whose shares of documents differ most between the classes."""
-    df = np.zeros((2, BUCKETS))
-    for label, at in zip(y, ids, strict=True):
-        df[label, at] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    p = df / n[:, None]
-    both = (df[0] + df[1] + 1) / (n.sum() + 2)
-    z = np.abs(p[1] - p[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-    z[df.max(axis=0) < LEAST_DF] = 0
-    best = np.argsort(-z, kind="stable")[:KEPT]
-    return np.sort(best[z[best] >= LEAST_Z])
+def pairwise(vectors: np.ndarray, at: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` documents whose features are ``at`` (of document ``doc``): the sums of their vectors, and of all pairs' products."""
+    v = vectors[at]
+    both = np.stack([np.bincount(doc, v[:, k], n) for k in range(v.shape[1])], axis=1)
+    return both, 0.5 * ((both**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1), n))
 
 
 def train(y: np.ndarray, ids: list[np.ndarray], share: float, seed: int = 0) -> Model:
-    """Fit on the screened buckets; classes weigh alike, so a score is the probability at even odds.
+    """Fit by proximal AdaGrad; a class weighs by the square root of its rarity.
 
     With one class only, every score is ``share``, class 1's share of all labels.
     """
     if not len(y) or y.min() == y.max():
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, np.zeros(0), np.zeros((0, WIDTH)), float(np.log(share / (1 - share))))
-    kept = screened(y, ids)
-    rows = {int(b): i for i, b in enumerate(kept)}
-    x = np.zeros((len(y), len(kept)), np.float32)
-    for i, at in enumerate(ids):
-        own = np.searchsorted(kept, at)
-        own = own[(own < len(kept)) & (kept[np.minimum(own, max(0, len(kept) - 1))] == at)] if len(kept) else own[:0]
-        x[i, own] = 1
+    kept = np.flatnonzero(np.bincount(np.concatenate(ids), minlength=BUCKETS) >= LEAST_DF)
+    row = np.full(BUCKETS, -1)
+    row[kept] = np.arange(len(kept))
+    x = [r[r >= 0] for r in (row[i] for i in ids)]
+    held, f = np.array([len(r) for r in x]), len(kept)
     rng = np.random.default_rng(seed)
-    linear, vectors, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), WIDTH)), 0.0
-    seen, seen_v, seen_b = np.full(len(kept), 1e-6), np.full((len(kept), WIDTH), 1e-6), 1e-6
-    weight = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum()))
+    linear, vectors, bias = np.zeros(f), rng.normal(0, START / np.sqrt(max(1.0, held.mean())), (f, WIDTH)), 0.0
+    seen, seen_v, seen_b = np.full(f, 1e-6), np.full(f, 1e-6), 1e-6
+    rare = np.sqrt(len(y) / np.array([(y == 0).sum(), (y == 1).sum()]))
+    weight = rare[y] / rare[y].mean()
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for pick in labelled.batches(len(y), BATCH, rng):
-            xs = x[pick]
-            both = xs @ vectors
-            z = bias + xs @ linear + 0.5 * ((both**2).sum(axis=1) - xs @ (vectors**2).sum(axis=1))
+            at, doc = np.concatenate([x[i] for i in pick]), np.repeat(np.arange(len(pick)), held[pick])
+            both, pairs = pairwise(vectors, at, doc, len(pick))
+            z = bias + np.bincount(doc, linear[at], len(pick)) + pairs
             off = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[pick]) * weight[pick] / len(pick)
-            grad = off @ xs + L2 * linear
-            grad_v = xs.T @ (off[:, None] * both) - (off @ xs)[:, None] * vectors + L2 * vectors
+            pull = off[doc]
+            grad = np.bincount(at, pull, f)
+            grad_v = np.stack([np.bincount(at, pull * (both[doc, k] - vectors[at, k]), f) for k in range(WIDTH)], axis=1)
             seen += grad**2
-            seen_v += grad_v**2
+            seen_v += (grad_v**2).sum(axis=1)
             seen_b += off.sum() ** 2
-            linear -= rate * grad / np.sqrt(seen)
-            vectors -= rate * grad_v / np.sqrt(seen_v)
+            step, step_v = rate / np.sqrt(seen), rate / np.sqrt(seen_v)
+            linear -= step * grad
+            linear = np.sign(linear) * np.maximum(np.abs(linear) - step * L1, 0)
+            vectors -= step_v[:, None] * grad_v
+            norm = np.sqrt((vectors**2).sum(axis=1)) + 1e-12
+            vectors *= np.maximum(0, 1 - step_v * GROUP_L1 / norm)[:, None]
             bias -= rate * off.sum() / np.sqrt(seen_b)
-    return Model(rows, linear, vectors, float(bias))
+    live = np.flatnonzero((linear != 0) | vectors.any(axis=1))
+    return Model({int(kept[i]): n for n, i in enumerate(live)}, linear[live], vectors[live], float(bias))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = labelled.MOST_PER_CLASS) -> Model:

@@ -76,16 +76,57 @@ def test_machine_learns_an_interaction():
         texts.append(f"{'insulting ' * int(a)}{'grouping ' * int(b)}filler")
         y.append(int(a == b))
     ids = [toxicity.features()(t)[0] for t in texts]
-    keep = toxicity.screened
-    try:
-        toxicity.screened = lambda y, ids: np.unique(np.concatenate(ids))
-        model = toxicity.train(np.array(y), ids, 0.5)
-    finally:
-        toxicity.screened = keep
+    model = toxicity.train(np.array(y), ids, 0.5)
     score = model.scorer()
     assert [round(score(t)) for t in ("insulting grouping filler", "filler", "insulting filler", "grouping filler")] == [1, 1, 0, 0]
 
 
+def test_pairs_are_missed_without_vectors():
+    """An insult or a mention of a group is common in clean texts; the two together are toxic."""
+    rng = np.random.default_rng(3)
+    names = [f"w{chr(97 + i)}{chr(97 + j)}x" for i in range(20) for j in range(20)]
+    texts, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        texts.append(" ".join([*rng.choice(names, 30), *["insulting"] * int(a), *["grouping"] * int(b)]))
+        y.append(int(a and b))
+    y = np.array(y)
+    ids = [toxicity.features()(t)[0] for t in texts]
+    model = toxicity.train(y[:3000], ids[:3000], 0.25)
+    plain = toxicity.Model(model.rows, model.linear, np.zeros_like(model.vectors), model.bias)
+    right = [np.mean([(m.scorer()(t) >= 0.5) == k for t, k in zip(texts[3000:], y[3000:], strict=True)]) for m in (model, plain)]
+    assert right[0] > 0.97 and right[1] < 0.9
+
+
+def test_scores_equal_the_sum_over_all_pairs():
+    rng = np.random.default_rng(5)
+    words = [f"term{chr(97 + i)}" for i in range(26)]
+    found = sorted({b for w in words for b in toxicity.terms(w)})
+    model = toxicity.Model({b: i for i, b in enumerate(found)}, rng.normal(size=len(found)), rng.normal(size=(len(found), toxicity.WIDTH)), -0.3)
+    for n in (0, 1, 2, 7):
+        text = " ".join(rng.choice(words, n)) + " other"
+        own = sorted({model.rows[b] for w in text.split() for b in toxicity.terms(w) if b in model.rows})
+        z = model.bias + sum(model.linear[i] for i in own)
+        for k, i in enumerate(own):
+            for j in own[k + 1 :]:
+                z += sum(model.vectors[i][d] * model.vectors[j][d] for d in range(toxicity.WIDTH))
+        assert model.scorer()(text) == pytest.approx(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        _, pairs = toxicity.pairwise(model.vectors, np.array(own, int), np.zeros(len(own), int), 1)
+        assert pairs[0] == pytest.approx(z - model.bias - model.linear[own].sum())
+
+
+def test_features_on_the_driver_are_bounded(spark, labels, monkeypatch):
+    from levelcast.llm import labelled
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows, _ = labelled.sample(docs, labels, "toxic", 200)
+    monkeypatch.setattr(labelled, "MOST_BYTES", 200_000)
+    y, ids, counts = labelled.gathered(rows, toxicity.features)
+    for k in (0, 1):
+        size = sum(i.nbytes + c.nbytes for i, c, m in zip(ids, counts, y, strict=True) if m == k)
+        assert 100_000 < size <= 200_000
+
+
 def test_terms_ignore_punctuation_and_case():
     assert toxicity.terms("TRASH!!") == toxicity.terms("trash") and toxicity.terms("123") == []
     assert pd.Series(toxicity.terms("prefixes")).nunique() == len(toxicity.terms("prefixes"))
