@@ -46,25 +46,66 @@ def test_awkward_rows(spark, module, run):
     assert one.score.nunique() == 1
 
 
-def test_long_texts_in_slices(monkeypatch):
-    text = "alpha beta Gamma beta beta\n" * 500 + "ünïcödé " * 50
-    whole = np.sort(np.concatenate(list(subword.buckets(text))))
-    monkeypatch.setattr(subword, "SLICE", 97)
-    assert (np.sort(np.concatenate(list(subword.buckets(text)))) == whole).all()
-    assert list(subword._slices(b"x" * 300)) == [b"x" * 97] * 3 + [b"x" * 9]
-
-
-def test_repetition_is_a_feature():
-    count = lambda t, k: int(sum((b == k).sum() for b in subword.buckets(t)))
-    assert count("a a b b c", subword.PLAIN) == 2 and count("a b c d a b c d", subword.PLAIN + 1) == 2
-
-
-def test_scorer_equals_training_features():
+def brute_buckets(text):
+    """Buckets and places by kind, feature by feature."""
+    raw, mix, top = text.encode("utf-8", "surrogatepass"), int(subword._MIX), 2**64 - 1
+    powers = [int(x) for x in subword._POWERS]
+    words = [sum((c + 1) * powers[i % 4096] for i, c in enumerate(w)) & top for w in raw.split()]
+    pairs = [(a * mix + b) & top for a, b in zip(words, words[1:], strict=False)]
+    triples = [(a * mix + b) & top for a, b in zip(pairs, words[2:], strict=False)]
+    padded = bytes(32 if subword.SPACE[c] else c for c in b" " + raw + b"   ")
+    chars = []
+    for i in range(len(raw)):
+        if padded[i + 1] != 32:
+            chars.append(int.from_bytes(padded[i : i + 3], "big") + (1 << 40))
+            if padded[i + 2] != 32:
+                chars.append(int.from_bytes(padded[i : i + 4], "big") + (1 << 41))
+    found = {"char": chars, "word": set(words), "pair": set(pairs), "triple": set(triples)}
+    places = {"char": len(chars), "word": len(words), "pair": len(pairs), "triple": len(triples)}
+    return sorted(int(subword._bucket(np.array([h], np.uint64), k)[0]) for k, hs in found.items() for h in hs), places
+
+
+TEXTS = ["", " ", "a", "  a b c a b c ", "Hello wörld\nfoo bar foo bar foo", "x y z x y z x", "alpha beta Gamma beta beta\n" * 50 + "ünïcödé " * 20 + "x" * 5000 + " tail"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 97, 1000, 1 << 20])
+def test_features_equal_a_plain_extractor_in_slices_of_any_size(monkeypatch, size):
+    monkeypatch.setattr(subword, "SLICE", size)
+    for text in TEXTS:
+        want, places = brute_buckets(text)
+        found = list(subword.buckets(text))
+        assert sorted(int(x) for _, b, _ in found for x in b) == want
+        assert {k: sum(n for kind, _, n in found if kind == k) for k in subword.SPACES} == places
+
+
+def test_scorer_equals_a_sum_feature_by_feature():
     rng = np.random.default_rng(0)
     model = subword.Model(rng.normal(size=subword.BUCKETS), 0.1)
-    at, n = subword.features()("Some words and some words again")
-    want = 1 / (1 + np.exp(-(0.1 + (model.pull[at] * n).sum() / n.sum())))
-    assert model.scorer()("Some words and some words again") == pytest.approx(want)
+    for text in TEXTS:
+        want, places = brute_buckets(text)
+        z = 0.1
+        for k, first in subword.FIRST.items():
+            own = [b for b in want if first <= b < first + subword.SPACES[k]]
+            z += sum(model.pull[b] for b in own) / max(1, places[k]) / len(subword.SPACES)
+        assert model.scorer()(text) == pytest.approx(1 / (1 + np.exp(-z)))
+        at, share = subword.features()(text)
+        assert 0.1 + (model.pull[at] * share).sum() == pytest.approx(z)
+
+
+def test_texts_that_repeat_themselves_are_told_by_learning():
+    """Made of the same words, repeated or not: nothing but what is learned tells them apart."""
+    rng = np.random.default_rng(2)
+    names = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("an", "el", "ir", "on", "us")]
+    texts, y = [], []
+    for i in range(600):
+        words = rng.choice(names, int(rng.integers(40, 120)))
+        if i % 2:
+            words = np.repeat(words[: len(words) // 5], 5)
+        texts.append(" ".join(words))
+        y.append(1 - i % 2)
+    rows = [subword.features()(t) for t in texts]
+    model = subword.train(np.array(y[:400]), [a for a, _ in rows[:400]], [c for _, c in rows[:400]], 0.5)
+    assert np.mean([(model.scorer()(t) >= 0.5) == k for t, k in zip(texts[400:], y[400:], strict=True)]) > 0.97
 
 
 def test_machine_learns_an_interaction():
