@@ -12,6 +12,10 @@ With the natural proportions (the default) all queues run dry together and there
 phase. With given weights a queue that runs dry leaves, and a new phase shares its weight
 out among the others.
 
+Queues are scheduled in groups of at most ``FANOUT``, the groups in the same way, and so on up, so
+that a quantum's place is found in a few short sums however many sources there are. Groups are made
+of queues that run dry at about the same time.
+
 The stream of quanta, followed by what each queue has left below one quantum, is cut every
 ``seq_len`` ids; the last remainder is cut into powers of two, so that nothing is padded.
 """
@@ -33,8 +37,8 @@ from . import common
 
 #: Ids after which a task begins a new chunk of its tokenized rows.
 CHUNK_TOKENS = 4_000_000
-#: Queues that are scheduled one by one; with more sources than that, sources share queues by hash.
-MAX_QUEUES = 1024
+#: Queues, or groups of queues, that take turns with one another.
+FANOUT = 256
 #: Rounds up to which products of a round and a quantum count fit in 64 bits.
 MAX_ROUNDS = 2**31
 #: Text of these characters is split alike by both libraries (checked by a test); other text goes to ``tokenizers``.
@@ -42,15 +46,14 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ]*")
 
 
 def encoder(json_path: str, ranks_path: str | None = None, pattern: str | None = None) -> Callable[[str], list[int]]:
-    """Text to ids of the tokenizer file ``json_path``, without special tokens.
+    """Text to ids of the tokenizer file ``json_path``, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    The strings of special tokens are ordinary text. ``ranks_path`` may name the same
-    vocabulary as ranks: plain text then takes the faster library, which gives the same ids.
+    ``ranks_path`` may name the same vocabulary as ranks: plain text without any added token's
+    string then takes the faster library, which gives the same ids.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path)
-    slow.encode_special_tokens = True
     if not ranks_path:
         return lambda text: slow.encode(text, add_special_tokens=False).ids
     import tiktoken
@@ -59,61 +62,43 @@ def encoder(json_path: str, ranks_path: str | None = None, pattern: str | None =
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
+
     def encode(text: str) -> list[int]:
-        if PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and not any(t in text for t in added):
             return fast.encode_ordinary(text)
         return slow.encode(text, add_special_tokens=False).ids
 
     return encode
 
 
-@dataclass
-class Schedule:
-    """The deficit round-robin schedule of queues with given token totals."""
-
-    totals: np.ndarray
-    seq_len: int = 1024
-    quantum: int = 128
-    weights: np.ndarray | None = None
-    phases: list = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        if self.seq_len % self.quantum:
-            raise ValueError("seq_len must be a multiple of quantum")
-        self.totals = np.asarray(self.totals, dtype=np.int64)
-        self.slots = self.totals // self.quantum
-        rest = self.totals - self.slots * self.quantum
-        self.rest_at = int(self.slots.sum()) * self.quantum + np.concatenate([[0], np.cumsum(rest)[:-1]]).astype(np.int64)
-        total = int(self.totals.sum())
-        full, rest = divmod(total, self.seq_len)
-        sizes = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        self.full = full
-        self.tail_starts = full * self.seq_len + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        self._plan()
+class Turns:
+    """Deficit round-robin among a few queues (or groups) with given numbers of quanta."""
 
-    def _plan(self) -> None:
-        """Phases: what each queue sends until the next one runs dry."""
-        weight = self.slots.astype(float) if self.weights is None else np.asarray(self.weights, float)
-        left, base = self.slots.copy(), 0
+    def __init__(self, slots: np.ndarray, weights: np.ndarray | None, per_round: int) -> None:
+        """Phases: what each queue sends until the next one runs dry. A round is about ``per_round`` quanta."""
+        self.phases: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        weight = slots.astype(float) if weights is None else np.asarray(weights, float)
+        left, base = slots.copy(), 0
         sent = np.zeros_like(left)
         while left.sum():
             live = (left > 0) & (weight > 0)
             if not live.any():  # only queues of weight zero are left: they drain by size
                 weight = left.astype(float)
                 continue
-            if self.weights is None:
+            if weights is None:
                 count = left.copy()
             else:
                 span = (left[live] / weight[live]).min()
                 count = np.where(live, np.minimum(left, np.ceil(weight * span).astype(np.int64)), 0)
             n = int(count.sum())
-            rounds = max(1, -(-n * self.quantum // self.seq_len))
+            rounds = max(1, -(-n // per_round))
             rounds = max(1, -(-rounds // -(-rounds // MAX_ROUNDS)))
             self.phases.append((sent.copy(), count, rounds, base))
             sent, left, base = sent + count, left - count, base + n
 
     def place(self, queue: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Place in the stream of quanta of each queue's given quantum."""
+        """Place among all queues' quanta of each queue's given quantum."""
         out = np.empty(len(slot), np.int64)
         for sent, count, rounds, base in self.phases:
             pick = np.flatnonzero((slot >= sent[queue]) & (slot < sent[queue] + count[queue]))
@@ -128,6 +113,65 @@ class Schedule:
                 out[part] = base + ahead.sum(axis=1) - own + k
         return out
 
+
+@dataclass
+class Schedule:
+    """The deficit round-robin schedule of queues with given token totals."""
+
+    totals: np.ndarray
+    seq_len: int = 1024
+    quantum: int = 128
+    weights: np.ndarray | None = None
+    levels: list = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        if self.seq_len % self.quantum:
+            raise ValueError("seq_len must be a multiple of quantum")
+        self.totals = np.asarray(self.totals, dtype=np.int64)
+        self.slots = self.totals // self.quantum
+        rest = self.totals - self.slots * self.quantum
+        self.rest_at = int(self.slots.sum()) * self.quantum + np.concatenate([[0], np.cumsum(rest)[:-1]]).astype(np.int64)
+        total = int(self.totals.sum())
+        full, rest = divmod(total, self.seq_len)
+        sizes = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        self.full = full
+        self.tail_starts = full * self.seq_len + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        self._plan()
+
+    def _plan(self) -> None:
+        """Levels, from the queues up: each member's group and number there, and the groups' turns."""
+        slots, weights = self.slots, None if self.weights is None else np.asarray(self.weights, float)
+        per_round = self.seq_len // self.quantum
+        while True:
+            n = len(slots)
+            if n <= FANOUT:
+                self.levels.append((np.zeros(n, np.int64), np.arange(n), [Turns(slots, weights, per_round)]))
+                return
+            if weights is None:
+                sets = [np.arange(n)]
+            else:  # members of weight zero follow all others, so they share no group with them
+                span = slots / np.maximum(weights, 1e-300)
+                sets = [s[np.argsort(span[s], kind="stable")] for s in (np.flatnonzero(weights > 0), np.flatnonzero(weights <= 0)) if len(s)]
+            groups = [s[i : i + FANOUT] for s in sets for i in range(0, len(s), FANOUT)]
+            group, number = np.empty(n, np.int64), np.empty(n, np.int64)
+            for g, own in enumerate(groups):
+                group[own], number[own] = g, np.arange(len(own))
+            self.levels.append((group, number, [Turns(slots[own], None if weights is None else weights[own], per_round) for own in groups]))
+            slots = np.array([slots[own].sum() for own in groups])
+            weights = None if weights is None else np.array([weights[own].sum() for own in groups])
+
+    def place(self, queue: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Place in the stream of quanta of each queue's given quantum."""
+        member, at = queue, slot
+        for group, number, turns in self.levels:
+            own, up = group[member], np.empty(len(at), np.int64)
+            order = np.argsort(own, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                if len(part):
+                    up[part] = turns[own[part[0]]].place(number[member[part]], at[part])
+            member, at = own, up
+        return at
+
     def sequence(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence id and offset there of each place in the stream of ids."""
         seq, off = at // self.seq_len, at % self.seq_len
@@ -222,7 +266,7 @@ def pack(
 
     A null text is an empty one and gives the end id alone; a null source is a queue of its
     own; repeated rows are packed as often as they occur; an empty table gives no rows; other
-    columns are ignored. ``weights``: token shares by source, 0 where a source is not named
+    columns are ignored. A source's totals, one row each, go to the driver. ``weights``: token shares by source, 0 where a source is not named
     (such sources follow when the others have run dry); None: the shares of the input.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
@@ -231,23 +275,18 @@ def pack(
     spark = docs.sparkSession
     table = common.staged(tokenized(docs, json_path, ranks_path, pattern), "pack-ids")
     parts = common.staged(table.groupBy("chunk", "queue").agg(F.sum("n").alias("n")), "pack-parts")
-    sources = parts.select("queue").distinct().count()
-    line = F.col("queue") if sources <= MAX_QUEUES else F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")
-    parts = parts.withColumn("line", line)
-    totals = sorted((r["line"], r["n"]) for r in parts.groupBy("line").agg(F.sum("n").alias("n")).collect())
+    totals = sorted((r["queue"], r["n"]) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())
     names = [q for q, _ in totals]
     share = None
     if weights is not None:
         named = {"" if k is None else f"={k}": float(v) for k, v in weights.items()}
         share = np.array([named.get(q, 0.0) for q in names])
-        if sources > MAX_QUEUES:
-            raise ValueError(f"weights can be given for at most {MAX_QUEUES} sources")
     schedule = Schedule(np.array([n for _, n in totals], dtype=np.int64), seq_len, quantum, share)
     number = {q: i for i, q in enumerate(names)}
-    order = Window.partitionBy("line").orderBy("chunk", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("chunk", "queue", "line", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    order = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("chunk", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     bases = common.sized(bases, parts.count())
-    placed = table.join(bases, ["chunk", "queue"]).select("doc_id", "queue", "line", (F.col("base") + F.col("local_at")).alias("at"), "n", "ids")
+    placed = table.join(bases, ["chunk", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("local_at")).alias("at"), "n", "ids")
     shared = spark.sparkContext.broadcast((schedule, number))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids array<int>" * with_ids
 
@@ -255,8 +294,8 @@ def pack(
         schedule, number = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc_id, queue, lines, at, n, ids = batch.columns
-            lines = np.array([number[x] for x in lines.to_pylist()], np.int64)
+            doc_id, queue, at, n, ids = batch.columns
+            lines = np.array([number[x] for x in queue.to_pylist()], np.int64)
             at, n = at.to_numpy(), n.to_numpy()
             cut = schedule.pieces(lines, at, n)
             doc, start, length = cut["doc"], cut["start"], cut["length"]

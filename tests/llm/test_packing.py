@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def ids_of(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -46,6 +45,53 @@ def test_schedule_places_every_id_once(seed):
     assert len(np.unique(own)) == n.sum()
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_five_thousand_queues(weighted):
+    """Any number of queues is scheduled one by one; in every window each group's share and each queue's hold."""
+    rng = np.random.default_rng(8)
+    totals = rng.integers(0, 6000, 5000)
+    weights = rng.random(5000) * (rng.random(5000) > 0.1) if weighted else None
+    s = packing.Schedule(totals, weights=weights)
+    q = np.repeat(np.arange(5000), s.slots)
+    k = np.concatenate([np.arange(n) for n in s.slots])
+    place = s.place(q, k)
+    assert (np.sort(place) == np.arange(s.slots.sum())).all()
+    for i in range(0, 5000, 97):
+        assert (np.diff(place[q == i]) > 0).all()
+    if weighted:  # queues without a weight follow when the others have run dry
+        assert place[weights[q] == 0].min() > place[weights[q] > 0].max()
+        early = place < s.slots.sum() // 20
+        sent = np.bincount(q[early], minlength=5000)
+        live = (weights > 0) & (s.slots > 40)
+        assert np.corrcoef(sent[live], weights[live])[0, 1] > 0.5
+    else:
+        big = np.flatnonzero(s.slots >= 20)
+        done = np.bincount(q[place < s.slots.sum() // 2], minlength=5000)
+        assert np.abs(done[big] - s.slots[big] / 2).max() <= 3
+
+
+def test_groups_keep_the_proportions_of_weights():
+    totals = np.full(600, 128_000)
+    weights = np.where(np.arange(600) % 3 == 0, 3.0, 1.0)
+    s = packing.Schedule(totals, weights=weights)
+    q = np.repeat(np.arange(600), s.slots)
+    place = s.place(q, np.concatenate([np.arange(n) for n in s.slots]))
+    for upto in (60_000, 120_000, 200_000):
+        sent = np.bincount(q[place < upto], minlength=600)
+        want = upto * weights / weights.sum()
+        assert np.abs(sent - want).max() <= 4
+
+
+def test_strings_of_added_tokens_are_the_tokenizers_own():
+    slow, fast = Tokenizer.from_file(PATH), packing.encoder(**tokenizer_files())
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
+    assert added
+    for t in added:
+        for text in (f"a {t} b", t, f"x{t}{t}", f"{t[:-1]} {t}"):
+            assert fast(text) == slow.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(PATH)("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_every_window_keeps_the_proportions():
     totals = np.array([500_000, 200_000, 50_000, 7_000])
     s = packing.Schedule(totals)
