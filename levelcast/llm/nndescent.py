@@ -8,15 +8,18 @@ farthest. A node whose whole list is above the threshold is saturated; its list
 to ``LIST_MOST``. Of all pairs above the threshold that a block or a neighbourhood compared, also
 those that no list has room for, a spanning forest is kept; these edges make components. Counts
 are exact: within each component all nodes are compared, in blocks. Finally a
-bounded sample of nodes is compared with all nodes; links it shows to be missing are added,
-and below the wanted recall further rounds follow with other orders and longer lists.
+bounded sample of nodes is compared with all nodes, larger until it shows enough links; links it
+shows to be missing are added, and below the wanted recall the search goes on with other orders
+and longer lists. A search that stays below ``LEAST_RECALL`` fails.
 
 Cosines are computed in double precision.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,8 +39,10 @@ BLOCK = 256
 MEMBERS = 1024
 #: NN-descent rounds at most, and the share of list places changed under which they end.
 ROUNDS, SETTLED = 4, 0.01
-#: Nodes of the audit, the recall it asks for, and how often the search may be repeated for it.
-AUDIT, RECALL, TRIES = 512, 0.98, 3
+#: Nodes of the audit at first and at most; links under which it is doubled.
+AUDIT, AUDIT_MOST, AUDIT_LINKS = 512, 8192, 512
+#: Recall under which the search goes on, how often at most, and the recall under which it fails then.
+RECALL, TRIES, LEAST_RECALL = 0.98, 5, 0.9
 #: Chance that a pair at the threshold shares no block, for which the number of orders is chosen.
 MISSED = 0.01
 
@@ -148,8 +153,11 @@ def orders(n: int, threshold: float) -> int:
     return max(2, math.ceil(math.log(MISSED) / math.log(1 - p))) if p < 1 else 2
 
 
-def _started(nodes: DataFrame, kind: str, threshold: float, count: int, first: int, keep: int) -> DataFrame:
-    """(node, nbr, sim, link): the nearest within the blocks of ``count`` orders, those from number ``first`` on; marked ``link``, a forest of each block's pairs at or above the threshold."""
+def _started(nodes: DataFrame, kind: str, threshold: float, count: int, first: int, keep: int, at_random: bool = False) -> DataFrame:
+    """(node, nbr, sim, link): the nearest within the blocks of ``count`` orders, those from number ``first`` on; marked ``link``, a forest of each block's pairs at or above the threshold.
+
+    ``at_random``: random orders instead of signatures, which leaves all finding to the descent.
+    """
 
     def make():
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -163,6 +171,9 @@ def _started(nodes: DataFrame, kind: str, threshold: float, count: int, first: i
                 at = np.flatnonzero(dims == d)
                 x = unit([blobs[i] for i in at], kind)
                 for t in range(count):
+                    if at_random:
+                        sig[t * len(dims) + at] = [zlib.crc32(f"{first + t}:{i}".encode()) for i in node.take(pa.array(at)).to_pylist()]
+                        continue
                     p = planes.setdefault((first + t, d), np.random.default_rng([first + t, d]).normal(size=(d, 64)))
                     sig[t * len(dims) + at] = np.packbits(x @ p > 0, axis=1, bitorder="big").view(">i8").ravel().astype(np.int64)
             every = pa.array(np.tile(np.arange(len(dims)), count))
@@ -292,9 +303,9 @@ def _counted(nodes: DataFrame, components: DataFrame, kind: str, threshold: floa
     return _grouped(rows, ["component", "i", "j"], each, ["node", "links"], "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _audited(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """(a, b): all links of a bounded sample of nodes (the AUDIT smallest hashes)."""
-    few = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "dim", "blob").collect()
+def _audited(nodes: DataFrame, kind: str, threshold: float, size: int) -> DataFrame:
+    """(a, b): all links of a bounded sample of nodes (the ``size`` smallest hashes)."""
+    few = nodes.orderBy(F.xxhash64("node"), "node").limit(size).select("node", "dim", "blob").collect()
     by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {r["dim"] for r in few}:
         own = [r for r in few if r["dim"] == d]
@@ -307,9 +318,12 @@ def _audited(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
             a, b = [], []
             for d, (ids, x) in shared.value.items():
                 at = np.flatnonzero(dims == d)
-                if len(at):
-                    i, j = np.nonzero(x @ unit([blobs[k] for k in at], kind).T >= threshold)
-                    a.append(ids[i])
+                if not len(at):
+                    continue
+                other = unit([blobs[k] for k in at], kind).T
+                for lo in range(0, len(ids), AUDIT):
+                    i, j = np.nonzero(x[lo : lo + AUDIT] @ other >= threshold)
+                    a.append(ids[lo + i])
                     b.append(node[at][j])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"]) if a else None
 
@@ -318,13 +332,30 @@ def _audited(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
     return common.map_arrow(nodes.select("node", "dim", "blob"), make, "a long, b long").filter("a != b")
 
 
-def near_duplicates(rows: DataFrame, column: str = "embedding", threshold: float = 0.95) -> tuple[DataFrame, float]:
+def audit(nodes: DataFrame, components: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, int, int]:
+    """The links (a, b) of the audited nodes, how many there are, and how many lie within a component.
+
+    The sample is doubled until it shows ``AUDIT_LINKS`` links, or holds ``AUDIT_MOST`` nodes.
+    """
+    side, size, n = components.select("node", "component"), AUDIT, nodes.count()
+    while True:
+        links = common.staged(_audited(nodes, kind, threshold, size), "nn-audit")
+        checked = links.join(side.toDF("a", "ca"), "a", "left").join(side.toDF("b", "cb"), "b", "left")
+        seen = checked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("long")).alias("same")).first()
+        if seen["n"] >= AUDIT_LINKS or size >= min(AUDIT_MOST, n):
+            return links, seen["n"], seen["same"] or 0
+        size *= 2
+
+
+def near_duplicates(rows: DataFrame, column: str = "embedding", threshold: float = 0.95, at_random: bool = False, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept) of every row, and the recall that the audit measured.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, nor do vectors of different lengths with each other. Rows of equal vectors are
     linked and counted one by one; repeated rows likewise. A null id is never a component's
-    smallest unless all are null. An empty table gives no rows.
+    smallest unless all are null. An empty table gives no rows. The recall is that of the search
+    before the links which the audit itself showed were added; it is logged, and below ``LEAST_RECALL``
+    after ``TRIES`` searches RuntimeError is raised. ``at_random`` starts from random neighbours.
     """
     common.missing_columns(rows, "vec_id", column)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), column)
@@ -333,10 +364,10 @@ def near_duplicates(rows: DataFrame, column: str = "embedding", threshold: float
     count, keep, first = orders(n, threshold), LIST, 0
     pairs, edges, recall = None, None, 1.0
     for attempt in range(TRIES):
-        met = common.staged(_started(nodes, kind, threshold, count, first, keep), "nn-started")
+        met = common.staged(_started(nodes, kind, threshold, count, first, keep, at_random), "nn-started")
         more, own = met.filter("not link").select("node", "nbr", "sim"), met.filter("link").select(F.col("node").alias("a"), F.col("nbr").alias("b"))
         lists = common.staged(_shortened(more if pairs is None else pairs.unionByName(more), None, keep), "nn-lists")
-        for _ in range(ROUNDS):
+        for _ in range(rounds):
             lists, changed, links = _descended(lists, nodes, kind, threshold, keep)
             own = own.unionByName(links)
             if changed < SETTLED:
@@ -344,19 +375,17 @@ def near_duplicates(rows: DataFrame, column: str = "embedding", threshold: float
         pairs = lists.select("node", "nbr", "sim")
         edges = common.staged(own if edges is None else edges.unionByName(own), "nn-edges")
         components = common.staged(connected_components(edges), "nn-components")
-        audit = common.staged(_audited(nodes, kind, threshold), "nn-audit")
-        side = components.select("node", "component")
-        checked = audit.join(side.toDF("a", "ca"), "a", "left").join(side.toDF("b", "cb"), "b", "left").withColumn("same", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
-        seen = checked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("same").cast("long")).alias("same")).first()
-        if seen["n"] == 0 or seen["same"] == seen["n"]:
-            recall = 1.0
-            break
-        recall = seen["same"] / seen["n"]
-        edges = common.staged(edges.unionByName(audit), "nn-edges")
-        if recall >= RECALL or attempt == TRIES - 1:
-            components = common.staged(connected_components(edges), "nn-components")
+        shown, seen, same = audit(nodes, components, kind, threshold)
+        recall = same / seen if seen else 1.0
+        logging.getLogger(__name__).info("search %d: %d of %d audited links found", attempt + 1, same, seen)
+        if recall >= RECALL:
             break
+        # what the audit shows is not added yet: the next search is to be measured by what it finds itself
         first, count, keep = first + count, count * 2, min(2 * keep, LIST_MOST)
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"recall {recall:.3f} of {seen} audited links after {TRIES} searches")
+    if same < seen:
+        components = common.staged(connected_components(edges.unionByName(shown)), "nn-components")
     links = _counted(nodes, components, kind, threshold)
     named = nodes.select("node", "first_id", "mult").join(components, "node", "left").withColumn("component", F.coalesce("component", F.col("node"))).join(links, "node", "left")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -75,6 +75,47 @@ def test_saturated_groups_joined_by_weaker_links_only(spark, monkeypatch):
     assert found.n_links.tolist() == links and found.component_id.tolist() == comp
 
 
+def curve(n, dim=24, turns=3, seed=4):
+    """Points along a closed curve on the sphere: near neighbours are everywhere, links only between the nearest."""
+    rng = np.random.default_rng(seed)
+    t = np.sort(rng.random(n)) * 2 * np.pi
+    x = np.concatenate([np.stack([np.cos(k * t), np.sin(k * t)], axis=1) for k in range(1, dim // 2 + 1)], axis=1)
+    return x[rng.permutation(n)] + 0.01 * rng.normal(size=(n, dim))
+
+
+def test_the_descent_alone_reaches_the_recall(spark, monkeypatch):
+    """From random neighbours, without signatures and with the start's own links of no help."""
+    monkeypatch.setattr(nndescent, "TRIES", 1)
+    monkeypatch.setattr(nndescent, "orders", lambda n, threshold: 6)
+    monkeypatch.setattr(nndescent, "BLOCK", 32)
+    monkeypatch.setattr(nndescent, "LEAST_RECALL", 0.0)
+    x = curve(3000)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    recall = {rounds: nndescent.near_duplicates(table(spark, rows), threshold=0.999, at_random=True, rounds=rounds)[1] for rounds in (0, 8)}
+    assert recall[0] < 0.2 and recall[8] >= 0.95
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "TRIES", 1)
+    monkeypatch.setattr(nndescent, "orders", lambda n, threshold: 1)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(curve(2000))]
+    with pytest.raises(RuntimeError, match="recall"):
+        nndescent.near_duplicates(table(spark, rows), threshold=0.999, at_random=True, rounds=0)
+
+
+def test_the_audit_grows_until_it_sees_enough_links(spark, monkeypatch):
+    """Few rows have a partner: the first sample shows next to none of the links."""
+    monkeypatch.setattr(nndescent, "AUDIT", 8)
+    monkeypatch.setattr(nndescent, "AUDIT_LINKS", 30)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 24))
+    x[:40] = x[40:80] + 0.01 * rng.normal(size=(40, 24))
+    _, nodes, kind = nndescent._nodes(table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), "embedding")
+    nothing = spark.createDataFrame([], "node long, component long")
+    links, seen, same = nndescent.audit(nodes, nothing, kind, 0.95)
+    assert seen >= 30 and same == 0 and links.count() == seen
+
+
 def test_a_forest_joins_what_the_matrix_joins():
     near = np.zeros((7, 7), bool)
     for i, j in [(0, 3), (3, 5), (5, 0), (1, 6)]:
