@@ -16,7 +16,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     the links nearer to stars about the smallest nodes; the number of rounds grows with the
     logarithm of a component's diameter. Both kinds of round are a grouped minimum and a join
     on the group key; the minimum is combined before the shuffle. Each round is written to
-    the shared folder.
+    the shared folder, and the round before it deleted.
     """
     a, b = links.columns
     now = common.staged(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "cc")
@@ -27,7 +27,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
-        now = common.staged(small, "cc")
+        last, now = now, common.staged(small, "cc")
+        common.dropped(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -20,7 +20,7 @@ from __future__ import annotations
 import logging
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,51 +73,6 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _grouped(df: DataFrame, key: list[str], each: Callable[[dict[str, np.ndarray | list]], Iterator[tuple]], names: list[str], schema: str) -> DataFrame:
-    """``each`` on every group of consecutive equal ``key``, streamed; a group is held whole."""
-    at = [df.columns.index(k) for k in key]
-    columns = df.columns
-    common.bounded(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        done: list[tuple] = []
-
-        def close() -> None:
-            table = pa.Table.from_batches(held)
-            done.extend(each({c: table.column(c).to_pylist() if pa.types.is_binary(table.schema.field(c).type) else table.column(c).to_numpy() for c in columns}))
-
-        def out() -> pa.RecordBatch:
-            parts = [np.concatenate(c) for c in zip(*done, strict=True)]
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(i).to_numpy() for i in at]
-            change = np.zeros(batch.num_rows - 1, bool)
-            for k in keys:
-                change |= k[1:] != k[:-1]
-            heads = np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
-            for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-                own = tuple(k[a] for k in keys)
-                if own != now and held:
-                    close()
-                    held.clear()
-                now = own
-                held.append(batch.slice(a, b - a))
-            if done:
-                yield out()
-        if held:
-            close()
-        if done:
-            yield out()
-
-    return df.mapInArrow(run, schema)
-
-
 def _valid(column: str) -> Column:
     """Whether a vector can link: it has components, all are finite numbers, and not all are zero."""
     wide = F.col(column).cast("array<double>")
@@ -260,7 +215,7 @@ def _descended(lists: DataFrame, nodes: DataFrame, kind: str, threshold: float,
         if len(i) + len(p):
             yield np.concatenate([u[i], u[p]]), np.concatenate([u[j], u[q]]), np.concatenate([sim[i, j], sim[p, q]]), np.arange(len(i) + len(p)) >= len(i)
 
-    found = _grouped(met.select("v", "u", "least", "blob"), ["v"], each, ["node", "nbr", "sim", "link"], "node long, nbr long, sim double, link boolean")
+    found = common.grouped(met.select("v", "u", "least", "blob"), ["v"], each, ["node", "nbr", "sim", "link"], "node long, nbr long, sim double, link boolean")
     found = found.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.max("link").alias("link"), F.min("link").alias("only"))
     known = lists.select("node", "nbr", F.lit(True).alias("known"))
     found = found.join(known, ["node", "nbr"], "left").withColumn("new", F.col("known").isNull() & ~F.col("only")).filter("new or link")
@@ -300,7 +255,7 @@ def _counted(nodes: DataFrame, components: DataFrame, kind: str, threshold: floa
             links = np.concatenate([near @ mult[cut:], near.T @ mult[:cut]])
         yield node, links.astype(np.int64)
 
-    return _grouped(rows, ["component", "i", "j"], each, ["node", "links"], "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return common.grouped(rows, ["component", "i", "j"], each, ["node", "links"], "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _audited(nodes: DataFrame, kind: str, threshold: float, size: int) -> DataFrame:
@@ -347,20 +302,8 @@ def audit(nodes: DataFrame, components: DataFrame, kind: str, threshold: float)
         size *= 2
 
 
-def near_duplicates(rows: DataFrame, column: str = "embedding", threshold: float = 0.95, at_random: bool = False, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
-    """(vec_id, n_links, component_id, kept) of every row, and the recall that the audit measured.
-
-    Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing, nor do vectors of different lengths with each other. Rows of equal vectors are
-    linked and counted one by one; repeated rows likewise. A null id is never a component's
-    smallest unless all are null. An empty table gives no rows. The recall is that of the search
-    before the links which the audit itself showed were added; it is logged, and below ``LEAST_RECALL``
-    after ``TRIES`` searches RuntimeError is raised. ``at_random`` starts from random neighbours.
-    """
-    common.missing_columns(rows, "vec_id", column)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), column)
-    members, nodes, kind = _nodes(rows, column)
-    n = nodes.count()
+def searched(nodes: DataFrame, kind: str, threshold: float, n: int, at_random: bool, rounds: int) -> tuple[DataFrame, float]:
+    """(node, component) of the ``n`` nodes with a link, and the audited recall of the search."""
     count, keep, first = orders(n, threshold), LIST, 0
     pairs, edges, recall = None, None, 1.0
     for attempt in range(TRIES):
@@ -386,6 +329,31 @@ def near_duplicates(rows: DataFrame, column: str = "embedding", threshold: float
         raise RuntimeError(f"recall {recall:.3f} of {seen} audited links after {TRIES} searches")
     if same < seen:
         components = common.staged(connected_components(edges.unionByName(shown)), "nn-components")
+    return components, recall
+
+
+def near_duplicates(rows: DataFrame, column: str = "embedding", threshold: float = 0.95, at_random: bool = False, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """(vec_id, n_links, component_id, kept) of every row, and the recall that the audit measured.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components link with
+    nothing, nor do vectors of different lengths with each other. Rows of equal vectors are
+    linked and counted one by one; repeated rows likewise. A null id is never a component's
+    smallest unless all are null. An empty table gives no rows. The recall is that of the search
+    before the links which the audit itself showed were added; it is logged, and below ``LEAST_RECALL``
+    after ``TRIES`` searches RuntimeError is raised. ``at_random`` starts from random neighbours.
+    """
+    common.missing_columns(rows, "vec_id", column)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), column)
+    members, nodes, kind = _nodes(rows, column)
+    n = nodes.count()
+    recall = 1.0
+
+    def found() -> DataFrame:
+        nonlocal recall
+        components, recall = searched(nodes, kind, threshold, n, at_random, rounds)
+        return components
+
+    components = common.settled(found, "nn-components")
     links = _counted(nodes, components, kind, threshold)
     named = nodes.select("node", "first_id", "mult").join(components, "node", "left").withColumn("component", F.coalesce("component", F.col("node"))).join(links, "node", "left")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -9,10 +9,17 @@ XORs over the nodes not yet reached) and a star of links is kept for each linked
 all its pairs. A key with more than ``GROUP_LIMIT`` nodes goes on to a second level, where the
 bits outside the key are cut into blocks again by the same argument; there at most 2**18
 different fingerprints can share a key, and these are compared in the same way.
+
+Sixty-four bits and a distance of three find texts that hardly differ. ``one_of_each`` asks for a
+similarity of the sets of shingles instead, say 0.8, at which fingerprints differ in some 15 % of
+their bits: no choice of blocks of so distant fingerprints is both complete and selective. There
+the blocks that close pairs share are bands of least hashes of the shingles (MinHash, Broder, 1997),
+and wide SimHash fingerprints are compared under each band.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .graph import connected_components
@@ -29,6 +37,12 @@ BITS = 64
 SEED = 42
 #: Nodes of one key that one task compares; keys with more are refined.
 GROUP_LIMIT = 65_536
+#: Words (of 64 bits) of a wide fingerprint; bands of least hashes, and hashes in a band.
+WIDE, BANDS, ROWS = 16, 16, 5
+#: Standard deviations by which a wide distance may exceed what the similarity lets expect.
+SLACK = 1.0
+#: Nodes of a band's key in a block; larger groups are compared block by block.
+MEMBERS = 4096
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -207,19 +221,125 @@ def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3, limit: int =
     Repeated rows each give a row. An empty table gives no rows.
     """
     prints = common.staged(fingerprints(docs, n).withColumn("row", F.monotonically_increasing_id()), "simhash-fp")
-    return prints.join(_components(prints, distance, limit), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    found = common.settled(lambda: _components(prints, distance, limit), "simhash-components")
+    return prints.join(found, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def _salts(n: int) -> np.ndarray:
+    """``n`` odd 64-bit constants."""
+    return np.random.default_rng(SEED).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str | None, n: int) -> tuple[bytes, bytes, np.ndarray]:
+    """Of the set of a text's word n-grams: a digest, the wide fingerprint, and the keys of the bands.
+
+    Words as for ``fingerprint``; with fewer than ``n`` words the whole sequence is the one n-gram.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split()
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in number), np.uint64, len(number))
+    at, mix = own[ids], np.uint64(0x9E3779B97F4A7C15)
+    size = min(n, len(words))
+    h = np.zeros(max(0, len(words) - size + 1) if words else 0, np.uint64)
+    for k in range(size):
+        h = (h ^ (h >> np.uint64(29))) * mix + at[k : k + len(h)]
+    h = np.unique(h)
+    digest = xxhash.xxh3_128_digest(h.tobytes())
+    if not len(h):
+        return digest, bytes(8 * WIDE), np.zeros(BANDS, np.int64)
+    salts = _salts(WIDE + BANDS * ROWS)
+    scrambled = lambda salt: (g := (h ^ (h >> np.uint64(31))) * salt) ^ (g >> np.uint64(32))
+    wide = np.zeros((WIDE, BITS), np.int64)
+    for k in range(WIDE):
+        g = scrambled(salts[k]) * mix
+        for part in np.array_split(g, len(g) // 50_000 + 1):
+            wide[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    least = np.array([(scrambled(s) * mix).min() for s in salts[WIDE:]], np.uint64).reshape(BANDS, ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in least], np.uint64).view(np.int64)
+    return digest, np.packbits(wide * 2 > len(h), axis=1, bitorder="little").tobytes(), keys
+
+
+def furthest(similarity: float) -> int:
+    """Bits in which wide fingerprints of sets of at least this Jaccard similarity differ, but for ``SLACK``.
+
+    The cosine of two such sets is at least 2 s / (1 + s), and a bit differs with the angle over pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = WIDE * BITS
+    return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+
+
+def _near_sets(fps: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The linked sets of two or more among wide fingerprints (rows): (number of one, numbers of the others)."""
+    left = np.arange(len(fps))
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        found, edge = [], [root]
+        while edge and len(left):
+            near = np.bitwise_count(fps[left] ^ fps[edge.pop()]).sum(axis=1) <= most
+            if near.any():
+                new = left[near]
+                found.append(new)
+                edge.extend(new)
+                left = left[~near]
+        if found:
+            yield int(root), np.concatenate(found)
+
+
+def similar_links(nodes: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) that connect what is connected by pairs which share a band and differ in at most ``most`` bits.
+
+    nodes: node, wide, keys. A key's nodes are dealt to blocks of about ``MEMBERS``, and each pair
+    of blocks is compared in a task of its own, so no task holds a large group.
+    """
+    keyed = common.staged(nodes.select("node", F.posexplode("keys").alias("band", "key")), "simhash-bands")
+    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
+    rows = keyed.join(sizes, ["band", "key"]).join(nodes.select("node", "wide"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "wide")
+    rows = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "node")
+
+    def each(group):
+        node, fps = group["node"], np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(-1, WIDE)
+        for root, others in _near_sets(fps, most):
+            yield np.full(len(others), node[root]), node[others]
+
+    return common.grouped(rows, ["band", "key", "i", "j"], each, ["a", "b"], "a long, b long")
 
 
-def one_of_each(docs: DataFrame, n: int = 3, distance: int = 3, limit: int = GROUP_LIMIT) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, null last.
+def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of texts whose sets of word n-grams are similar: that of the smallest doc_id, null last.
 
-    Of repeated rows of one id the first written is kept.
+    Null and empty texts, and those without a word, are alike and one of them stays. Of rows of one id
+    the one whose text has the smallest digest stays, of repeated rows any one. Groups are connected
+    by links, so two texts of a group may be less similar. Similarity is told from wide fingerprints: within
+    some 0.05 of the bound, and in sets of under about 20 n-grams, it may fall on either side. Extra columns pass through; an empty
+    table gives no rows.
     """
-    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("whole"))
-    prints = common.staged(fingerprints(inner, n, ("whole",)).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
-    found = _components(prints.select("doc_id", "fp", "row"), distance, limit)
-    keep = prints.select("fp", "row").join(found, "fp").filter(F.col("row") == F.col("first.row")).select("row")
-    return prints.join(keep, "row", "left_semi").select("whole.*")
+    common.missing_columns(docs, "doc_id", "text")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("whole"))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [sketch(t, n) for t in batch.column(1).to_pylist()]
+            exact = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([k for _, _, k in found])))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact, pa.binary()), pa.array([d for d, _, _ in found], pa.binary()), pa.array([w for _, w, _ in found], pa.binary()), keys, batch.column(2)], names=["doc_id", "exact", "digest", "wide", "keys", "whole"])
+
+        return each
+
+    kinds = T.StructType([*T.StructType.fromDDL("doc_id long, exact binary, digest binary, wide binary, keys array<long>").fields, whole.schema["whole"]])
+    prints = common.staged(common.map_arrow(whole, make, kinds).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "exact", "row"))
+
+    def kept() -> DataFrame:
+        nodes = prints.groupBy("digest").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys"), least.alias("first"))
+        nodes = common.staged(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-sets")
+        labels = connected_components(similar_links(nodes, furthest(similarity)))
+        named = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+
+    return prints.join(common.settled(kept, "simhash-kept"), "row", "left_semi").select("whole.*")
 
 
 def hex_digits(fp: Column) -> Column:

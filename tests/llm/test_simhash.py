@@ -70,13 +70,66 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(300)) and 5000 not in got
 
 
+def shingles(text, n=5):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def groups(texts, least):
+    """Number of the first text of each one's group, linked at a Jaccard similarity of at least ``least``."""
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if (len(sets[i] & sets[j]) / both if both else 1.0) >= least and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def near_copies(count=30):
+    """Texts, and copies of them with ever more words exchanged."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"])
+    out = []
+    for k in range(count):
+        base = rng.choice(words, int(rng.integers(120, 900)))
+        out.append(" ".join(base))
+        for share in (0.0, 0.005, 0.01, 0.05, 0.3):
+            other = base.copy()
+            at = rng.choice(len(base), int(share * len(base)), replace=False)
+            other[at] = rng.choice(words, len(at))
+            out.append(" ".join(other).replace("a", "A", k % 3))
+    return out
+
+
+@pytest.mark.parametrize("members", [4096, 7])
+def test_one_of_each_follows_the_similarity_of_sets(spark, monkeypatch, members):
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    texts = near_copies()
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r.doc_id for r in kept.collect()}
+    wide, tight = (set(groups(texts, s)) for s in (0.7, 0.86))  # a group's first text, by generous and by strict linking
+    assert wide <= found <= tight
+
+
+def test_one_of_each_of_a_large_group(spark, monkeypatch):
+    """All texts share most of their shingles, so that every band has them under one key."""
+    monkeypatch.setattr(simhash, "MEMBERS", 16)
+    base = near_copies(1)[0].split()
+    texts = [" ".join([*base, f"tail{i}"]) for i in range(200)]
+    assert [r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()] == [0]
+
+
 def test_one_of_each(spark):
     docs = awkward(spark)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    fps = [brute(r.text) for r in docs.collect()]  # one id has two texts, so components are counted by fingerprint
-    assert kept.count() == len(set(components(list(range(len(fps))), fps).tolist()))
+    rows = docs.collect()
+    assert kept.count() == len(set(groups([r.text for r in rows], 0.8)))
     assert simhash.one_of_each(clashing(docs)).count() == kept.count()
+    again = simhash.one_of_each(docs.repartition(3, "n_chars"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
 
 
 def test_empty_table(spark):
