@@ -1,53 +1,13 @@
-"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing, packing."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from levelcast.llm import common, mixing, packing, pii, quality, simhash
-from levelcast.llm.queries import tokenizer_files
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep."""
-    return quality.kept_documents(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: the one with the smallest id."""
-    return simhash.one_of_each(docs)
+"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing, packing.
 
+The stages are in ``levelcast.llm.stages``.
+"""
 
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
-    return pii.redacted(docs)
-
-
-def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the balanced mix of sources takes them."""
-    return mixing.mixed(docs)
-
-
-def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their ids."""
-    return packing.pack(docs, with_ids=True, **tokenizer_files())
+from __future__ import annotations
 
+from levelcast.llm.stages import STAGES, run
 
-STAGES = [
-    ("quality rules", quality_rules),
-    ("near-duplicates", near_duplicates),
-    ("personal data", personal_data),
-    ("mixing", mixing_sources),
-    ("packing", packing_sequences),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: The stages' sketches, fingerprints, checksums and token ids are beyond SQL.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents; each stage's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
