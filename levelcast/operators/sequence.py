@@ -150,26 +150,27 @@ def rate_over_window(df: DataFrame, x: str, t: str, years: float, out: str, by:
     return two.withColumn(out, rate).select(*df.columns, out)
 
 
-def _series(df: DataFrame, t: str, columns: Sequence[str], by: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per series with its time-ordered array of structs."""
-    return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), *[F.col(c).alias(c) for c in columns]))).alias("s"), *[F.first(k).alias(k) for k in keep])
+#: Steps of a recurrence that are folded at a time: an array grows by a copy, so long ones grow by whole parts.
+PART = 256
 
 
 def relaxation(df: DataFrame, forcing: str, t: str, tau: str, out: str, by: Sequence[str] = (), start: float | None = None) -> DataFrame:
     """dS/dt = (T - S) / tau, stepped exactly with the mean forcing of each step; S(0) = T(0) or ``start``.
 
     ``tau`` is a column that is constant in each series; below 0.01 S follows T. The state is
-    folded over the series' array, in the JVM; a series must fit one row.
+    folded over the series' array, in the JVM, ``PART`` rows at a time; a series must fit one row.
     """
-    first = f"x.{forcing}" if start is None else f"{float(start)}D"
-    body = f"""transform(filter(aggregate(s, cast(array() as array<struct<t:double,f:double,v:double>>), (a, x) ->
-        concat(a, array(named_struct('t', cast(x.t as double), 'f', cast(x.{forcing} as double), 'v', cast(
-            case when size(a) = 0 then (case when {tau} < 0.01 then x.{forcing} else {first} end)
-                 when {tau} < 0.01 then x.{forcing}
-                 else (element_at(a, -1).f + x.{forcing}) / 2 + (element_at(a, -1).v - (element_at(a, -1).f + x.{forcing}) / 2) * exp(-(x.t - element_at(a, -1).t) / {tau}) end as double))))),
-        e -> true), e -> e)"""
-    folded = _series(df, t, [forcing], by, [tau]).withColumn("p", F.expr(body))
-    return folded.select(*by, tau, F.explode("p").alias("e")).select(*by, tau, F.col("e.t").alias(t), F.col("e.f").alias(forcing), F.col("e.v").alias(out))
+    first = "__x.f" if start is None else f"{float(start)}D"
+    state = f"""case when size(__a) = 0 then (case when __tau < 0.01 then __x.f else {first} end) when __tau < 0.01 then __x.f
+        else (element_at(__a, -1).f + __x.f) / 2 + (element_at(__a, -1).v - (element_at(__a, -1).f + __x.f) / 2) * exp(-(__x.t - element_at(__a, -1).t) / __tau) end"""
+    kind = "array<struct<t:double,f:double,v:double>>"
+    fold = f"aggregate(slice(__rows, __k * {PART} + 1, {PART}), cast(slice(__all, -1, 1) as {kind}), (__a, __x) -> concat(__a, array(named_struct('t', __x.t, 'f', __x.f, 'v', cast({state} as double)))))"
+    fold = fold.replace("cast(slice(__all, -1, 1)", "cast(if(size(__all) = 0, __all, slice(__all, greatest(size(__all), 1), 1))")
+    path = f"aggregate(sequence(0, cast((size(__rows) - 1) div {PART} as int)), cast(array() as {kind}), (__all, __k) -> concat(__all, slice({fold}, if(__k = 0, 1, 2), {PART})))"
+    row = F.struct(F.col(t).cast("double").alias("t"), F.col(forcing).cast("double").alias("f"))
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("__rows"), F.first(tau).alias("__tau"))
+    folded = rows.select(*by, "__tau", F.explode(F.expr(path)).alias("__e"))
+    return folded.select(*by, F.col("__tau").alias(tau), F.col("__e.t").alias(t), F.col("__e.f").alias(forcing), F.col("__e.v").alias(out))
 
 
 def two_layers(df: DataFrame, forcing: str, t: str, tau_up: str, tau_deep: str, by: Sequence[str] = ()) -> DataFrame:

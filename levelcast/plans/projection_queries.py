@@ -13,7 +13,7 @@ from .registry import register, table
 
 #: Yearly forcing of each event type: 31 'years' from 2000, one per day.
 YEARLY = """yearly AS (SELECT event_type AS scenario, (1999 + day(ts))::DOUBLE AS year, avg(value) / 10 AS temp FROM events GROUP BY 1, 2)"""
-DRAWS = """draws AS (SELECT p_partkey AS sample_id, p_size / 1e3 AS c0, p_retailprice / 1e6 AS c1, (p_partkey % 7) / 1e3 AS c2 FROM part WHERE p_partkey < 40)"""
+DRAWS = """draws AS (SELECT p_partkey AS sample_id, p_size / 1e3 AS c0, p_retailprice / 1e6 AS c1, (p_partkey % 7) / 1e3 AS c2 FROM part)"""
 
 
 def yearly(spark, sf):
@@ -22,7 +22,7 @@ def yearly(spark, sf):
 
 
 def part_draws(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey < 40").select(F.col("p_partkey").alias("sample_id"), (F.col("p_size") / 1e3).alias("c0"), (F.col("p_retailprice") / 1e6).alias("c1"), ((F.col("p_partkey") % 7) / 1e3).alias("c2"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("sample_id"), (F.col("p_size") / 1e3).alias("c0"), (F.col("p_retailprice") / 1e6).alias("c1"), ((F.col("p_partkey") % 7) / 1e3).alias("c2"))
 
 
 @register("project_level_ensemble", f"""WITH {YEARLY}, {DRAWS}, g AS (SELECT scenario, sample_id, year, c0 + c1 * temp + c2 * temp * temp AS rate FROM yearly, draws),
@@ -54,10 +54,10 @@ def project_path_sigma(spark, sf):
 
 
 def _states(spark, sf):
-    return part_draws(spark, sf).filter("sample_id < 12").withColumns({"tau": 2.0 + F.col("sample_id"), "d": F.lit(0.002), "a": F.col("c2"), "b": F.col("c1"), "bd": F.col("c1") / 2, "c": F.col("c0"), "tau_d": F.lit(60.0), "g_atm": F.col("c1"), "g_ocean": F.col("c2"), "d0": F.col("c0")})
+    return part_draws(spark, sf).withColumns({"tau": 2.0 + F.col("sample_id"), "d": F.lit(0.002), "a": F.col("c2"), "b": F.col("c1"), "bd": F.col("c1") / 2, "c": F.col("c0"), "tau_d": F.lit(60.0), "g_atm": F.col("c1"), "g_ocean": F.col("c2"), "d0": F.col("c0")})
 
 
-_FOLD = """ord AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY year) AS i FROM yearly), smp AS (SELECT *, 2.0 + sample_id AS tau FROM draws WHERE sample_id < 12),
+_FOLD = """ord AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY year) AS i FROM yearly), smp AS (SELECT *, 2.0 + sample_id AS tau FROM draws),
  f AS (SELECT scenario, sample_id, tau, c0, c1, c2, i, year, temp, temp::DOUBLE AS state FROM ord, smp WHERE i = 1
   UNION ALL SELECT f.scenario, f.sample_id, f.tau, f.c0, f.c1, f.c2, o.i, o.year, o.temp, (o.temp + f.temp) / 2 + (f.state - (o.temp + f.temp) / 2) * exp(-(o.year - f.year) / f.tau) FROM f JOIN ord o ON o.scenario = f.scenario AND o.i = f.i + 1)"""
 
@@ -77,28 +77,48 @@ def project_thermosteric(spark, sf):
     return out.select("scenario", "sample_id", "year", rounded("value").alias("value"))
 
 
-@register("project_thermosteric_two_layers")
+#: Upper and deep states of each sample; the deep one relaxes to the upper over 60 years.
+_LAYERS = _FOLD.replace("state FROM ord", "state, temp::DOUBLE AS deep FROM ord").replace(
+    "exp(-(o.year - f.year) / f.tau) FROM", "exp(-(o.year - f.year) / f.tau) AS up, (f.state + up) / 2 + (f.deep - (f.state + up) / 2) * exp(-(o.year - f.year) / 60.0) FROM"
+)
+
+
+@register("project_thermosteric_two_layers", f"""WITH RECURSIVE {YEARLY}, {DRAWS}, {_LAYERS}, v AS (SELECT *, c2 * state * state + c1 * state + c1 / 2 * deep + c0 * (year - 2010) AS v FROM f)
+ SELECT scenario, sample_id, year, {r('v - max(CASE WHEN year = 2010 THEN v END) OVER (PARTITION BY scenario, sample_id)')} AS value FROM v""")
 def project_thermosteric_two_layers(spark, sf):
     out = project.thermosteric_ensemble(_states(spark, sf), yearly(spark, sf), layers=2, baseline=2010.0)
     return out.select("scenario", "sample_id", "year", rounded("value").alias("value"))
 
 
-@register("project_discharge")
+@register("project_discharge", f"""WITH RECURSIVE {YEARLY}, {DRAWS}, {_FOLD.replace('FROM yearly)', 'FROM (SELECT scenario, year, temp * 0.5 + 0.1 AS temp FROM yearly))')},
+ g AS (SELECT f.*, y.temp AS air, lag(y.temp) OVER w AS p, lag(state) OVER w AS ps, f.year - lag(f.year) OVER w AS dt FROM f JOIN yearly y ON f.scenario = y.scenario AND f.year = y.year WINDOW w AS (PARTITION BY f.scenario, sample_id ORDER BY f.year)),
+ i AS (SELECT *, sum(coalesce(0.5 * (air + p) * dt, 0)) OVER w AS i1, sum(coalesce(0.5 * (air ** 2 + p ** 2) * dt, 0)) OVER w AS i2, sum(coalesce(0.5 * (state + ps) * dt, 0)) OVER w AS d FROM g WINDOW w AS (PARTITION BY scenario, sample_id ORDER BY year)),
+ b AS (SELECT *, c2 * i2 + c1 * i1 AS smb, c1 * i1 + c2 * d + c0 * (year - 2010) AS discharge FROM i),
+ z AS (SELECT *, smb - max(CASE WHEN year = 2010 THEN smb END) OVER w AS s0, discharge - max(CASE WHEN year = 2010 THEN discharge END) OVER w AS d1 FROM b WINDOW w AS (PARTITION BY scenario, sample_id))
+ SELECT scenario, sample_id, year, {r('s0')} AS smb, {r('d1')} AS discharge, {r('s0 + d1')} AS value FROM z""")
 def project_discharge(spark, sf):
     f = yearly(spark, sf).withColumn("ocean", F.col("temp") * 0.5 + 0.1)
     out = project.discharge_ensemble(_states(spark, sf), f, baseline=2010.0)
     return out.select("scenario", "sample_id", "year", *[rounded(c).alias(c) for c in ("smb", "discharge", "value")])
 
 
-@register("project_delayed_discharge")
+@register("project_delayed_discharge", f"""WITH {YEARLY}, {DRAWS}, g AS (SELECT y.scenario, sample_id, y.year, c1 * coalesce(o.temp, 0) + c2 AS rate FROM yearly y JOIN draws ON true LEFT JOIN yearly o ON o.scenario = y.scenario AND o.year = y.year - sample_id % 4),
+ s AS (SELECT *, rate * coalesce(year - lag(year) OVER (PARTITION BY scenario, sample_id ORDER BY year), 1) AS st FROM g), i AS (SELECT *, sum(st) OVER (PARTITION BY scenario, sample_id ORDER BY year) AS i FROM s)
+ SELECT scenario, sample_id, year, {r('i - max(CASE WHEN year = 2010 THEN i END) OVER (PARTITION BY scenario, sample_id)')} AS value FROM i""")
 def project_delayed_discharge(spark, sf):
     f = yearly(spark, sf).withColumnRenamed("temp", "ocean")
-    s = part_draws(spark, sf).filter("sample_id < 12").select("sample_id", F.col("c1").alias("gamma"), F.col("c2").alias("r0"), (F.col("sample_id") % 4).cast("double").alias("delay"))
+    s = part_draws(spark, sf).select("sample_id", F.col("c1").alias("gamma"), F.col("c2").alias("r0"), (F.col("sample_id") % 4).cast("double").alias("delay"))
     out = project.delayed_discharge(s, f, baseline=2010.0)
     return out.select("scenario", "sample_id", "year", rounded("value").alias("value"))
 
 
-@register("project_tau_sensitivity")
+@register("project_tau_sensitivity", f"""WITH RECURSIVE {YEARLY}, {DRAWS}, taus AS (SELECT range * 5.0 AS tau FROM range(1, 4)), ord AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY year) AS i FROM yearly),
+ f AS (SELECT scenario, tau, i, year, temp, temp::DOUBLE AS state FROM ord, taus WHERE i = 1
+  UNION ALL SELECT f.scenario, f.tau, o.i, o.year, o.temp, (o.temp + f.temp) / 2 + (f.state - (o.temp + f.temp) / 2) * exp(-(o.year - f.year) / f.tau) FROM f JOIN ord o ON o.scenario = f.scenario AND o.i = f.i + 1),
+ g AS (SELECT scenario, tau, sample_id, year, c0 + c1 * temp + c2 * temp * temp + 0.002 * (state - temp) AS rate FROM f, draws),
+ s AS (SELECT *, coalesce(0.5 * (rate + lag(rate) OVER w) * (year - lag(year) OVER w), 0) AS st FROM g WINDOW w AS (PARTITION BY scenario, tau, sample_id ORDER BY year)), n AS (SELECT *, sum(st) OVER (PARTITION BY scenario, tau, sample_id ORDER BY year) AS v FROM s),
+ z AS (SELECT *, v - max(CASE WHEN year = 2010 THEN v END) OVER (PARTITION BY scenario, tau, sample_id) AS value, CASE WHEN abs(year - 2015) <= 1 THEN 2015.0 WHEN abs(year - 2025) <= 1 THEN 2025.0 END::DOUBLE AS "at" FROM n)
+ SELECT scenario, tau::DOUBLE AS tau, "at", {r('quantile_cont(value, 0.05)')} AS p05, {r('quantile_cont(value, 0.5)')} AS p50, {r('quantile_cont(value, 0.95)')} AS p95 FROM z WHERE "at" IS NOT NULL GROUP BY 1, 2, 3""")
 def project_tau_sensitivity(spark, sf):
     taus = spark.range(1, 4).select((F.col("id") * 5).cast("double").alias("tau"))
     out = project.tau_sensitivity(_states(spark, sf), yearly(spark, sf), taus, [2015.0, 2025.0], 1.0, baseline=2010.0)

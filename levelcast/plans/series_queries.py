@@ -60,7 +60,7 @@ def join_left_median(spark, sf):
 
 
 _DAYS = "days AS (SELECT range::DOUBLE AS x FROM range(0, 32))"
-_OBS = """obs AS (SELECT event_type AS series, epoch_us(ts) / 86400e6 - epoch_us(TIMESTAMP '2024-01-01') / 86400e6 AS x, value AS v FROM events WHERE user_id = 7)"""
+_OBS = """obs AS (SELECT event_type || '/' || user_id AS series, epoch_us(ts) / 86400e6 - epoch_us(TIMESTAMP '2024-01-01') / 86400e6 AS x, value AS v FROM events)"""
 
 
 def _days(spark):
@@ -68,8 +68,9 @@ def _days(spark):
 
 
 def _obs(spark, sf):
+    """A series of values for each event type and user."""
     start = 1704067200 / 86400
-    return table(spark, sf, "events").filter("user_id = 7").select(F.col("event_type").alias("series"), (A.micros("ts") / 86400e6 - F.lit(start)).alias("x"), F.col("value").alias("v"))
+    return table(spark, sf, "events").select(F.concat_ws("/", "event_type", "user_id").alias("series"), (A.micros("ts") / 86400e6 - F.lit(start)).alias("x"), F.col("value").alias("v"))
 
 
 def _queries_for(spark, sf):

@@ -34,12 +34,12 @@ def source_name_parts(spark, sf):
     return s.groupBy(F.regexp_extract("s_name", pattern, 1).alias("kind"), (F.regexp_extract("s_name", pattern, 2).cast("long") % 7).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("source_fixed_width", """WITH x AS (SELECT o_orderpriority AS series, string_agg(printf('%8.3f', v), '' ORDER BY q) AS t FROM (SELECT o_orderpriority, date_trunc('quarter', o_orderdate) AS q, avg(o_totalprice) / 1e3 AS v FROM orders GROUP BY 1, 2) GROUP BY 1)
- SELECT series, i.range AS i, substring(t, i.range * 8 + 1, 8)::DOUBLE AS v FROM x, range(0, 12) i""")
+@register("source_fixed_width", """WITH x AS (SELECT o_orderpriority AS series, printf('%8.3f', avg(o_totalprice) / 1e3)::DOUBLE AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY date_trunc('quarter', o_orderdate)) - 1 AS i FROM orders GROUP BY 1, date_trunc('quarter', o_orderdate))
+ SELECT series AS depth, make_timestamp((1955 + i // 4)::BIGINT, (i % 4 * 3 + 2)::BIGINT, 15, 0, 0, 0) AS "time", (round(v * 10, 4) + 0e0) AS tsl_mm FROM x""")
 def source_fixed_width(spark, sf):
     q = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_trunc("quarter", "o_orderdate").alias("q")).agg((F.avg("o_totalprice") / 1e3).alias("v"))
-    t = q.groupBy("series").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q", "v"))), lambda s: F.format_string("%8.3f", s["v"])), "").alias("t"))
-    return t.select("series", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<bigint>")).alias("i"), "t").select("series", "i", F.expr("substring(t, cast(i as int) * 8 + 1, 8)").try_cast("double").alias("v"))
+    t = q.groupBy(F.col("series").alias("depth")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q", "v"))), lambda s: F.format_string("%8.3f", s["v"])), "").alias("value"))
+    return text.quarterly_records(t).withColumn("tsl_mm", rounded("tsl_mm", 4))
 
 
 _CUBE = f"""WITH {ENS}, q AS (SELECT (range / 20.0)::DOUBLE AS quantile FROM range(1, 20)), cube AS (SELECT component, scenario, year, quantile, quantile_cont(value, [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])[round(quantile * 20)::INT] AS value FROM ens, q GROUP BY 1, 2, 3, 4)"""

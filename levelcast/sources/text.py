@@ -134,19 +134,22 @@ def ice_mass(spark: SparkSession, path: str, flip: bool = True) -> DataFrame:
 
 
 def ice_discharge(spark: SparkSession, path: str, first_year: int | None = None) -> DataFrame:
-    """CSV of year and, in gigatonnes, balance, surface balance, discharge (and basal term) with errors; gains are flipped, discharge is not."""
+    """CSV of year and, in gigatonnes, balance, surface balance, discharge (and basal term) with errors; gains are flipped, discharge is not.
+
+    Each file is a series of its own.
+    """
     df = spark.read.csv(path, header=True)
     names = ("mb", "smb", "discharge", "bmb")
     c = [_num(F.col(f"`{x}`")) for x in df.columns]
-    out = [(F.floor(c[0]) + 0.5).alias("decimal_year")]
+    out = [F.input_file_name().alias("_file"), (F.floor(c[0]) + 0.5).alias("decimal_year")]
     for i, n in enumerate(names):
         if 2 * i + 2 < len(c):
             out += [(c[2 * i + 1] * (C.GT_TO_M if n in ("discharge", "bmb") else -C.GT_TO_M)).alias(f"{n}_rate"), (F.abs(c[2 * i + 2]) * C.GT_TO_M).alias(f"{n}_rate_sigma")]
     rows = df.select(*out).filter("decimal_year is not null")
     if first_year is not None:
         rows = rows.filter(F.col("decimal_year") >= first_year)
-    w = Window.orderBy("decimal_year").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cumulative_mb", F.sum("mb_rate").over(w)).withColumn("cumulative_mb_sigma", F.sqrt(F.sum(F.col("mb_rate_sigma") ** 2).over(w)))
+    w = Window.partitionBy("_file").orderBy("decimal_year").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("cumulative_mb", F.sum("mb_rate").over(w)).withColumn("cumulative_mb_sigma", F.sqrt(F.sum(F.col("mb_rate_sigma") ** 2).over(w))).drop("_file")
 
 
 def glacier_mass(spark: SparkSession, path: str) -> DataFrame:
@@ -175,8 +178,13 @@ def thermosteric_quarterly(spark: SparkSession, path: str, start_year: int = 195
     The depth range comes from the file's name.
     """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "[\r\n]", "").alias("value"))
+    return quarterly_records(whole.select(F.regexp_extract("file", r"([0-9]+-[0-9]+)", 1).alias("depth"), "value"), start_year)
+
+
+def quarterly_records(whole: DataFrame, start_year: int = 1955) -> DataFrame:
+    """Records of rows (depth, value), each value a whole file without line ends."""
     n = (F.length("value") / 8).cast("int")
-    rec = whole.select(F.regexp_extract("file", r"([0-9]+-[0-9]+)", 1).alias("depth"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("value"), i * 8 + 1, F.lit(8)))).alias("i", "v"))
+    rec = whole.select("depth", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("value"), i * 8 + 1, F.lit(8)))).alias("i", "v"))
     value = S.null_if_equal(_num(F.trim("v")), -999.999)
     return rec.select("depth", F.make_timestamp(start_year + F.floor(F.col("i") / 4).cast("int"), (F.col("i") % 4 * 3 + 2).cast("int"), F.lit(15), F.lit(0), F.lit(0), F.lit(0)).alias("time"), (value * 10).alias("tsl_mm")).filter("tsl_mm is not null")
 

@@ -279,3 +279,21 @@ def test_time_varying_coefficient(spark):
     df = frame(spark, k=["a"] * 60, t=t, y=2.0 + 0.0 * t, one=[1.0] * 60, s=[0.1] * 60)
     got = bayes.dynamic_linear(df, "y", ["one"], "t", ["k"], "s", 20).toPandas()
     assert got["mean"].to_numpy() == pytest.approx(2.0, abs=0.2)
+
+
+def test_relaxation_of_long_series_and_clashing_names(spark):
+    import time
+
+    n = 20_000
+    df = spark.range(n).select(F.lit("a").alias("s"), F.lit(1).alias("x"), F.col("id").cast("double").alias("t"), F.sin(F.col("id") / 50).alias("e"), F.lit(7.0).alias("p"))
+    began = time.time()
+    got = sequence.relaxation(df, "e", "t", "p", "a", ["s", "x"]).orderBy("t").toPandas()
+    assert time.time() - began < 30 and len(got) == n
+    v, e = [got.e[0]], got.e.to_numpy()
+    for i in range(1, n):
+        m = (e[i] + e[i - 1]) / 2
+        v.append(m + (v[-1] - m) * np.exp(-1 / 7.0))
+    assert np.allclose(got.a, v)
+    for k in (1, 255, 256, 257, 513):
+        short = sequence.relaxation(df.filter(F.col("t") < k), "e", "t", "p", "a", ["s", "x"]).orderBy("t").toPandas()
+        assert np.allclose(short.a, v[:k])
