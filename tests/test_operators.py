@@ -297,3 +297,24 @@ def test_relaxation_of_long_series_and_clashing_names(spark):
     for k in (1, 255, 256, 257, 513):
         short = sequence.relaxation(df.filter(F.col("t") < k), "e", "t", "p", "a", ["s", "x"]).orderBy("t").toPandas()
         assert np.allclose(short.a, v[:k])
+
+
+def test_draws_through_a_transfer_spread_about_the_line(spark):
+    from levelcast.operators import composite
+
+    fit = spark.createDataFrame([(2.0, 1.0, 0.1, 0.05, 0.2)], "slope double, intercept double, slope_se double, intercept_se double, resid_std double")
+    forcing = spark.createDataFrame([("a", 2000.0, 1.0), ("a", 2001.0, 3.0)], "scenario string, year double, temp double")
+    line = composite.through_transfer(forcing, fit, "temp", "ocean").orderBy("year").toPandas()
+    assert line.ocean.tolist() == [3.0, 7.0]
+    many = composite.through_transfer(forcing, fit, "temp", "ocean", ids=mixture.sample_ids(spark, 20_000)).toPandas().groupby("year").ocean
+    assert np.allclose(many.mean(), [3, 7], atol=0.02)
+    assert np.allclose(many.std(), [np.sqrt(0.01 + 0.0025 + 0.04), np.sqrt(0.09 + 0.0025 + 0.04)], rtol=0.03)
+
+
+def test_a_gaussian_combination_adds_moments(spark):
+    from levelcast.operators import composite
+
+    q = spark.createDataFrame([(2100, "x", -1.645, 0.0, 1.645), (2100, "y", 1 - 2 * 1.645, 1.0, 1 + 2 * 1.645)], "year int, component string, p05 double, p50 double, p95 double")
+    samples = mixture.sample_ids(spark, 20_000).select("sample_id", F.lit(2100).alias("year"), F.lit(5.0).alias("value"))
+    got = composite.gaussian_combination(q, samples, ["year"]).toPandas().value
+    assert abs(got.mean() - 6) < 0.05 and abs(got.std() - np.sqrt(5)) < 0.05
