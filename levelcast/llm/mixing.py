@@ -9,7 +9,7 @@ size alone; documents are therefore counted by (source, size) once, before the i
 
 Rates become copies by error diffusion over the sizes of a source, largest first, so a source's
 tokens are met within about the size of its smallest documents; within one size the extra
-copies go to the documents with the smallest hash of their id.
+copies go to the documents with the smallest hash of their id and text.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def copies(docs: DataFrame, keep: tuple[str, ...], weights: Callable[[int, str |
     common.missing_columns(docs, "doc_id", "text", "source", *keep)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     whole = F.struct(*keep).alias("m_whole")  # so that no column of the input meets one of these
-    rows = common.staged(docs.select(whole, F.col("doc_id").alias("m_id"), F.col("source").cast("string").alias("m_source"), common.key("source").alias("skey"), size.alias("size")), "mix-rows")
+    rows = common.staged(docs.select(whole, F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), F.col("source").cast("string").alias("m_source"), common.key("source").alias("skey"), size.alias("size")), "mix-rows")
     counts = common.staged(rows.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"), F.first("m_source").alias("m_source")), "mix-counts")
     stats = counts.groupBy("skey").agg(F.first("m_source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("total"), F.max("size").alias("most"), F.sum("n").alias("docs")).collect()
     total = {r["skey"]: int(r["total"]) for r in stats}
@@ -144,14 +144,14 @@ def copies(docs: DataFrame, keep: tuple[str, ...], weights: Callable[[int, str |
     plan = counts.select("skey", "size", "n").join(spread, ["skey", "size"])
     plan = plan.select("skey", "size", F.expr("copies div n").alias("each"), (F.col("copies") % F.col("n")).alias("extra"), F.ceil(F.col("n") / RANKED).alias("parts"), "n")
     plan = common.staged(plan, "mix-plan")
-    wide = rows.withColumn("h", F.xxhash64(F.col("m_id").cast("string"))).join(common.sized(plan, plan.count()), ["skey", "size"]).withColumn("part", F.pmod(F.col("h"), F.col("parts")))
+    wide = rows.join(common.sized(plan, plan.count()), ["skey", "size"]).withColumn("part", F.pmod(F.col("h"), F.col("parts")))
     # the extra copies of a size are dealt to its parts in proportion, then to the smallest hashes
     held = wide.filter("extra > 0 and parts > 1").groupBy("skey", "size", "part").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n"), F.max("extra").alias("extra"))
     upto = F.sum("held").over(Window.partitionBy("skey", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     quota = held.withColumn("upto", upto).select("skey", "size", "part", (F.expr("extra * upto div n") - F.expr("extra * (upto - held) div n")).alias("quota"))
     quota = common.staged(quota, "mix-quota")
     ranked = wide.join(common.sized(quota, quota.count()), ["skey", "size", "part"], "left").withColumn("quota", F.coalesce("quota", "extra"))
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "part").orderBy("h", "m_id"))
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "part").orderBy("h"))
     some = ranked.filter("quota > 0").withColumn("rank", rank).withColumn("m_copies", F.col("each") + (F.col("rank") <= F.col("quota")).cast("long")).drop("rank")
     rest = ranked.filter("quota = 0").withColumn("m_copies", F.col("each"))
     out = some.unionByName(rest).join(by_source, "skey")

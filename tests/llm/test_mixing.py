@@ -53,6 +53,48 @@ def test_query(spark):
     assert (abs(taken - target) / target).max() < 0.01
 
 
+def brute_copies(size, goal, cap=3):
+    """Copies of all documents of each size of one source: bisection for the tilt, then error diffusion."""
+    sizes, n = np.unique(size[size > 0], return_counts=True)
+    sizes, n = sizes[::-1].astype(float), n[::-1]
+    low, high = -60.0, np.log(cap) + 1e-9  # of the largest multiplier of a word, at sizes of at least one
+    for _ in range(200):
+        mid = (low + high) / 2
+        if (n * sizes * np.minimum(cap, np.exp(mid * sizes))).sum() < goal:
+            low = mid
+        else:
+            high = mid
+    rate = np.minimum(cap, np.exp(low * sizes))
+    want = taken = 0.0
+    out = {}
+    for i, (s, k) in enumerate(zip(sizes, n, strict=True)):
+        want += s * k * rate[i]
+        aim = goal if i == len(sizes) - 1 else want
+        out[int(s)] = min(cap * k, max(0, round((aim - taken) / s)))
+        taken += out[int(s)] * s
+    return out
+
+
+def test_copies_equal_a_plain_diffusion(spark):
+    found = op8_mixing(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet")[["doc_id", "source"]], on="doc_id")
+    found["copies"] = found.taken // found["size"].clip(lower=1)
+    same = []
+    for _, g in found.groupby("source"):
+        want = brute_copies(g["size"].to_numpy(), g.target.iloc[0])
+        got = g[g["size"] > 0].groupby("size").copies.agg(["sum", "min", "max"])
+        assert (got["max"] - got["min"] <= 1).all()
+        same += [abs(got["sum"][s] - k) <= 0 for s, k in want.items()]
+    assert np.mean(same) > 0.99
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    """Ids that repeat, and null ones, with texts of one size: reruns agree on every text's copies."""
+    rows = [(None if i % 2 else 1, f"w{i} " * 3, "en", "ab"[i % 3 // 2], 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    a, b = (sorted(r.text for r in mixing.mixed(d).select("text").collect()) for d in (docs, docs.repartition(7)))
+    assert a == b
+
+
 def test_large_equal_groups(spark):
     """Thousands of documents of one size in one source: the parts of a size share its extra copies."""
     rows = [(i, "w " * 7, "en", "hot", 1) for i in range(20_000)] + [(50_000 + i, "w " * (i % 90 + 1), "en", "cold", 1) for i in range(4000)] + [(90_000 + i, "w " * 50, "en", None, 1) for i in range(200)]
