@@ -43,6 +43,9 @@ WIDE, BANDS, ROWS = 16, 16, 5
 SLACK = 1.0
 #: Nodes of a band's key in a block; larger groups are compared block by block.
 MEMBERS = 4096
+#: Hashes of n-grams that are scrambled at a time, and the odd numbers that scramble them.
+PIECE = 255 * 8
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE + BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -225,11 +228,6 @@ def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3, limit: int =
     return prints.join(found, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def _salts(n: int) -> np.ndarray:
-    """``n`` odd 64-bit constants."""
-    return np.random.default_rng(SEED).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def sketch(text: str | None, n: int) -> tuple[bytes, bytes, np.ndarray]:
     """Of the set of a text's word n-grams: a digest, the wide fingerprint, and the keys of the bands.
 
@@ -248,16 +246,28 @@ def sketch(text: str | None, n: int) -> tuple[bytes, bytes, np.ndarray]:
     digest = xxhash.xxh3_128_digest(h.tobytes())
     if not len(h):
         return digest, bytes(8 * WIDE), np.zeros(BANDS, np.int64)
-    salts = _salts(WIDE + BANDS * ROWS)
-    scrambled = lambda salt: (g := (h ^ (h >> np.uint64(31))) * salt) ^ (g >> np.uint64(32))
-    wide = np.zeros((WIDE, BITS), np.int64)
-    for k in range(WIDE):
-        g = scrambled(salts[k]) * mix
-        for part in np.array_split(g, len(g) // 50_000 + 1):
-            wide[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    least = np.array([(scrambled(s) * mix).min() for s in salts[WIDE:]], np.uint64).reshape(BANDS, ROWS)
-    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in least], np.uint64).view(np.int64)
-    return digest, np.packbits(wide * 2 > len(h), axis=1, bitorder="little").tobytes(), keys
+    ones, least = np.zeros((WIDE, BITS), np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    scrambled = h ^ (h >> np.uint64(31))
+    for at in range(0, len(h), PIECE):
+        g = scrambled[at : at + PIECE, None] * SALTS
+        g = (g ^ (g >> np.uint64(32))) * mix
+        ones += set_bits(g[:, :WIDE])
+        least = np.minimum(least, g[:, WIDE:].min(axis=0))
+    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+    return digest, np.packbits(ones * 2 > len(h), axis=1, bitorder="little").tobytes(), keys
+
+
+def set_bits(g: np.ndarray) -> np.ndarray:
+    """How often each bit is set, by column of a matrix of 64-bit numbers: (columns, 64).
+
+    Eight bits at a time, one of each byte, are counted in the bytes of a number, for 255 rows.
+    """
+    few = np.zeros((-(-len(g) // 255) * 255, g.shape[1]), np.uint64)
+    few[: len(g)] = g
+    few = few.reshape(-1, 255, g.shape[1])
+    every = np.uint64(0x0101010101010101)
+    counts = [((few >> np.uint64(b)) & every).sum(axis=1).astype("<u8").view(np.uint8).reshape(len(few), g.shape[1], 8).sum(axis=0, dtype=np.int64) for b in range(8)]
+    return np.stack(counts, axis=2).reshape(g.shape[1], BITS)
 
 
 def furthest(similarity: float) -> int:

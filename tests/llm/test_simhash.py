@@ -103,6 +103,13 @@ def near_copies(count=30):
     return out
 
 
+def test_bits_are_counted():
+    g = np.random.default_rng(1).integers(0, 2**63, (1000, 3), dtype=np.uint64) * np.uint64(2)
+    for n in (1, 254, 255, 256, 1000):
+        want = [[int((g[:n, c] >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)] for c in range(3)]
+        assert simhash.set_bits(g[:n]).tolist() == want
+
+
 @pytest.mark.parametrize("members", [4096, 7])
 def test_one_of_each_follows_the_similarity_of_sets(spark, monkeypatch, members):
     monkeypatch.setattr(simhash, "MEMBERS", members)
