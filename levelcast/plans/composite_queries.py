@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, composite, mixture, regress
+from ..functions import scalars as S
+from ..operators import aggregate, composite, mixture, regress, resample, skill
+from ..sources import tables
 from . import fixtures as X
-from .fixtures import ENS, FORCING, LEVEL, r, rounded
+from .fixtures import CELLS, ENS, FORCING, LEVEL, r, rounded
 from .projection_queries import DRAWS, YEARLY, part_draws, yearly
 from .registry import register, table
 
@@ -93,3 +95,34 @@ def composite_sliding_bandwidths(spark, sf):
     pairs = X.level(spark, sf).select("month", "level", "t_year").join(X.forcing(spark, sf).select("month", "temp"), "month").withColumn("series", F.lit("a"))
     out = composite.sliding_bandwidths(pairs, "level", "temp", "t_year", ["series"], (1.5, 2.0, 3.0), least=10.0)
     return out.select("bandwidth", rounded("centre").alias("centre"), "term", rounded("coef", 4).alias("coef"))
+
+
+# operators that no other query goes through
+
+
+@register("scalar_marks", f"""SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' END AS flag, {r('least(l_extendedprice / 1e5, 0.32)', 8)} AS capped,
+ {r('-l_quantity / 362500.0', 9)} AS level, {r('-ln(1 - l_tax)')} AS depth, CASE WHEN l_discount > 0 THEN {r('ln(l_discount)')} END AS logarithm FROM lineitem""")
+def scalar_marks(spark, sf):
+    line = table(spark, sf, "lineitem")
+    log = S.finite(F.when(F.col("l_discount") > 0, F.log("l_discount")).otherwise(F.lit(float("-inf"))))
+    return line.select("l_orderkey", "l_linenumber", S.mapped("l_returnflag", {"A": "accepted", "R": "returned"}).alias("flag"), rounded(S.capped(F.col("l_extendedprice") / 1e5), 8).alias("capped"),
+                       rounded(S.mass_to_level("l_quantity"), 9).alias("level"), rounded(S.optical_depth(1 - F.col("l_tax"))).alias("depth"), rounded(log).alias("logarithm"))
+
+
+@register("resample_dedup_last", "SELECT event_type, user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def resample_dedup_last(spark, sf):
+    return resample.dedup(table(spark, sf, "events"), ["event_type", "user_id"], [F.desc("ts"), F.desc("event_id")]).select("event_type", "user_id", "event_id")
+
+
+@register("source_storage_mass", f"""WITH {CELLS}, k AS (SELECT year, lat, lon, value, weight, 6371000.0 ** 2 * radians(0.5) * radians(0.5) * cos(radians(lat)) AS a FROM cells WHERE NOT (lat < -60 OR (lat > 60 AND lon % 360 BETWEEN 295 AND 350)))
+ SELECT year AS "time", {r('sum(value * a) * 1e-14', 5)} AS mass, {r('sqrt(sum(power(weight * a, 2))) * 1e-14', 5)} AS mass_sigma FROM k GROUP BY 1""")
+def source_storage_mass(spark, sf):
+    cells = X.cells(spark, sf).select(F.col("year").alias("time"), "lat", "lon", F.col("value").alias("lwe_thickness"), F.col("weight").cast("double").alias("uncertainty"))
+    return tables.storage_mass(cells).select("time", rounded("mass", 5).alias("mass"), rounded("mass_sigma", 5).alias("mass_sigma"))
+
+
+@register("skill_transition", f"""WITH {YEARLY}, {DRAWS}, g AS (SELECT scenario, sample_id, year, temp, c1 * 100 AS limit_ FROM yearly, draws)
+ SELECT scenario, sample_id, min(CASE WHEN temp < 4.9 + limit_ THEN year END) AS crossing FROM g GROUP BY 1, 2""")
+def skill_transition(spark, sf):
+    grid = part_draws(spark, sf).crossJoin(F.broadcast(yearly(spark, sf)))
+    return skill.transition(grid, "temp", 4.9 + F.col("c1") * 100, "year", ["scenario", "sample_id"])
