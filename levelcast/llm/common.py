@@ -93,6 +93,26 @@ def sized(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+#: A key counts as hot from this share of all rows on (and this many rows); so there are at most ``1 / HOT_SHARE`` hot keys.
+HOT_SHARE, HOT_ROWS = 1e-4, 10_000
+
+
+def keyed_join(rows: DataFrame, side: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, a staged table of one row per key whose column ``count`` tells how many ``rows`` have the key.
+
+    A short side, as counted, is broadcast. Else its hot keys are: of these there are at most 10,000
+    whatever the table's size, and no task gets all rows of one. The other keys are joined by a shuffle in which
+    a key holds at most a ten-thousandth of the rows (or 10,000 rows). ``count`` is left out; keys must not be null.
+    """
+    n, total = side.agg(F.count(F.lit(1)), F.sum(count)).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side.drop(count)), on, how)
+    bound = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot, cold = side.filter(F.col(count) > bound).drop(count), side.filter(F.col(count) <= bound).drop(count)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on, how)
+    return rows.join(F.broadcast(hot.select(*on) if how == "left_semi" else hot), on).unionByName(rest)
+
+
 def bounded(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers hold, by bytes: 10,000 rows of long texts would be too many.
 

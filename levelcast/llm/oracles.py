@@ -59,5 +59,20 @@ def embeddings_sql(threshold: float = 0.95) -> str:
  SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)"""
 
 
+def interaction_sql() -> str:
+    """Masks by expressions and a window minimum, orders by recursion over the letters."""
+    return """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS smallest FROM d),
+ f AS (SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(smallest < doc_id, false)] AS fails FROM w),
+ g AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+ m AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN g USING (doc_id) GROUP BY ALL),
+ o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || letter FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter) WHERE NOT contains(filter_order, letter)),
+ s AS (SELECT filter_order, i::INT AS step, ord(filter_order[i]) - 64 AS own, list_transform(range(1, i), lambda j: ord(filter_order[j]) - 64) AS before FROM o, range(1, 6) r(i) WHERE length(filter_order) = 5),
+ x AS (SELECT *, fails[own] AS failing, len(list_filter(before, lambda j: fails[j])) > 0 AS gone, len(list_filter(fails, lambda b: b)) AS k FROM s, m),
+ y AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant,
+   coalesce(sum(n) FILTER (failing AND k = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (failing AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT gone), 0)::BIGINT AS toxic_lost FROM x GROUP BY 1, 2, 3, 4)
+ SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality_sql(), "op5_embeddings": embeddings_sql()}
+    return {"op3_quality": quality_sql(), "op5_embeddings": embeddings_sql(), "op11_filter_audit": interaction_sql()}

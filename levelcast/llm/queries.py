@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, nndescent, oracles, packing, pii, quality, secrets, simhash, subword, toxicity
+from . import interaction, licenses, mixing, nndescent, oracles, packing, pii, quality, secrets, simhash, subword, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in every order, by language."""
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline over the documents."""
     from . import stages
@@ -82,7 +87,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality, op4_pii, op5_embeddings, op6_secrets, op7_quality_classifier, op8_mixing, op9_toxicity, op10_licenses, pipeline)}
+    found = (
+        op1_packing, op2_simhash, op3_quality, op4_pii, op5_embeddings, op6_secrets, op7_quality_classifier, op8_mixing, op9_toxicity, op10_licenses,
+        op11_filter_audit, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

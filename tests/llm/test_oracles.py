@@ -12,11 +12,11 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.001"])
 def test_oracle(spark, name, sf):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(oracles.oracle_sql()[name]).df()
     found = queries.queries()[name](spark, sf).toPandas()[list(want.columns)]
-    key = want.columns[0]
+    key = list(want.columns)
     want, found = (d.sort_values(key).reset_index(drop=True) for d in (want, found))
     assert len(want) == len(found) > 0
     for c in want.columns:
