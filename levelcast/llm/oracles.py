@@ -74,5 +74,31 @@ def interaction_sql() -> str:
  SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM y"""
 
 
+def repair_sql() -> str:
+    """CRC-32 by bits, faults by windows, the cheapest edits by recursion over rows and states, the replay by positions of letters."""
+    return """WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+ h AS (SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT), lambda acc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(acc, b)), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM c),
+ d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+ o AS (SELECT *, coalesce('=' || conv_id, '') AS ck, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i FROM d),
+ f AS (SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS is_blank, row_number() OVER (PARTITION BY ck, role, text ORDER BY i) > 1 AS seen,
+   NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY ck ORDER BY i) || left(role, 1) AS pair FROM o),
+ r AS (SELECT *, CASE WHEN is_blank OR seen THEN 'x' WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS role_symbol, NOT is_blank AND NOT seen AND cut AS is_cut FROM f),
+ ins(s, mid, ic, il) AS (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (2, 2, 10, 'II'), (3, 3, 0, ''), (3, 2, 5, 'I'), (3, 3, 10, 'II')),
+ ops(mid, symbol, t, oc, ol) AS (SELECT mid, symbol, mid, 2, 'D' FROM (VALUES (0), (1), (2), (3)) a(mid), (VALUES ('s'), ('u'), ('a'), ('o'), ('x')) b(symbol)
+   UNION ALL SELECT mid, symbol, CASE mid WHEN 2 THEN 3 ELSE 2 END, 1, 'R' FROM (VALUES (0), (1), (2), (3)) a(mid), (VALUES ('s'), ('u'), ('a'), ('o')) b(symbol)
+   UNION ALL VALUES (0, 's', 1, 0, 'K'), (0, 'u', 2, 0, 'K'), (1, 'u', 2, 0, 'K'), (2, 'a', 3, 0, 'K'), (3, 'u', 2, 0, 'K')),
+ dp(ck, i, s, cost, audit) AS (SELECT DISTINCT ck, 0::BIGINT, 0, 0::BIGINT, '' FROM r UNION ALL
+   SELECT ck, i, s, cost, audit FROM (SELECT dp.ck, dp.i + 1 AS i, ops.t AS s, dp.cost + ic + oc + CASE WHEN r.is_cut AND ol <> 'D' THEN 5 ELSE 0 END AS cost, dp.audit || il || ol AS audit
+     FROM dp JOIN r ON r.ck = dp.ck AND r.i = dp.i + 1 JOIN ins ON ins.s = dp.s JOIN ops ON ops.mid = ins.mid AND ops.symbol = r.role_symbol) QUALIFY row_number() OVER (PARTITION BY ck, s ORDER BY cost, audit) = 1),
+ n AS (SELECT ck, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (seen AND NOT is_blank) AS duplicate, count(*) FILTER (is_cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+ e AS (SELECT dp.ck, cost + ic AS cost, audit || il AS audit FROM dp JOIN n ON n.ck = dp.ck AND n.n = dp.i JOIN ins ON ins.s = dp.s AND ins.mid IN (0, 3) QUALIFY row_number() OVER (PARTITION BY dp.ck ORDER BY cost + ic, audit || il) = 1),
+ l AS (SELECT ck, j, audit[j] AS letter, length(replace(audit[:j], 'I', '')) AS i, length(replace(audit[:j], 'D', '')) AS p FROM (SELECT ck, audit, unnest(range(1, length(audit) + 1)) AS j FROM e)),
+ p AS (SELECT l.ck, l.p, l.letter, r.role, CASE WHEN letter = 'I' THEN '' ELSE r.text END AS text, bool_or(l.p = 1 AND letter = 'K' AND r.initial = 's') OVER (PARTITION BY l.ck) AS has_system FROM l JOIN r ON r.ck = l.ck AND r.i = greatest(l.i, 1) WHERE letter <> 'D'),
+ q AS (SELECT ck, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (p - has_system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS sha FROM p GROUP BY 1)
+ SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS ck FROM conversations) ids LEFT JOIN n USING (ck) LEFT JOIN e USING (ck) LEFT JOIN q USING (ck)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality_sql(), "op5_embeddings": embeddings_sql(), "op11_filter_audit": interaction_sql()}
+    return {"op3_quality": quality_sql(), "op5_embeddings": embeddings_sql(), "op11_filter_audit": interaction_sql(), "op13_conversations": repair_sql()}
