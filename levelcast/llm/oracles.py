@@ -100,5 +100,18 @@ def repair_sql() -> str:
  FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS ck FROM conversations) ids LEFT JOIN n USING (ck) LEFT JOIN e USING (ck) LEFT JOIN q USING (ck)"""
 
 
+def lines_sql() -> str:
+    """Lines unnested, keys grouped, the others joined again in order."""
+    gap = r"[\x20\x09-\x0D]"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ l AS (SELECT r, doc_id, i, ls[i] AS line, translate(regexp_replace(regexp_replace(ls[i], '^{gap}+', ''), '{gap}+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+ o AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY 1 HAVING count(DISTINCT r) >= 5),
+ m AS (SELECT l.*, o.k IS NOT NULL AND l.doc_id IS DISTINCT FROM o.last AS dropped FROM l LEFT JOIN o USING (k))
+ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality_sql(), "op5_embeddings": embeddings_sql(), "op11_filter_audit": interaction_sql(), "op13_conversations": repair_sql()}
+    return {
+        "op3_quality": quality_sql(), "op5_embeddings": embeddings_sql(), "op11_filter_audit": interaction_sql(), "op12_line_dedup": lines_sql(),
+        "op13_conversations": repair_sql(),
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, interaction, licenses, mixing, nndescent, oracles, packing, pii, quality, secrets, simhash, subword, toxicity
+from . import conversations, interaction, licenses, lines, mixing, nndescent, oracles, packing, pii, quality, secrets, simhash, subword, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the lines that five or more share."""
+    return lines.lines_report(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every damaged conversation."""
     return conversations.repair_report(_table(spark, sf_dir, "conversations"))
@@ -94,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_packing, op2_simhash, op3_quality, op4_pii, op5_embeddings, op6_secrets, op7_quality_classifier, op8_mixing, op9_toxicity, op10_licenses,
-        op11_filter_audit, op13_conversations, pipeline,
+        op11_filter_audit, op12_line_dedup, op13_conversations, pipeline,
     )
     return {f.__name__: f for f in found}
 
