@@ -38,7 +38,7 @@ def scan_grid_region(spark, sf):
 @register(
     "scan_sample_cube",
     f"""WITH {ENS}, c AS (SELECT component, scenario, sample_id, year, round(value * 1000) / 1000 AS value FROM ens)
- SELECT component, scenario, year, {r("quantile_cont(value, 0.05)", 4)} AS p05, {r("quantile_cont(value, 0.5)", 4)} AS p50, {r("quantile_cont(value, 0.95)", 4)} AS p95, {r("avg(value)", 5)} AS mean, count(*) AS n FROM c GROUP BY 1, 2, 3""",
+ SELECT component, scenario, year, {r("quantile_cont(value, 0.05)", 7)} AS p05, {r("quantile_cont(value, 0.5)", 7)} AS p50, {r("quantile_cont(value, 0.95)", 7)} AS p95, {r("avg(value)", 5)} AS mean, count(*) AS n FROM c GROUP BY 1, 2, 3""",
 )
 def scan_sample_cube(spark, sf):
     """Samples by years, a file per component and scenario with whole millimetres in records; component and scenario come of the names."""
@@ -49,7 +49,7 @@ def scan_sample_cube(spark, sf):
     name = r"total-([^-]+)-([^-]+)_globalsl\.nc$"
     long = long.select(F.regexp_extract("file", name, 1).alias("component"), F.regexp_extract("file", name, 2).alias("scenario"), F.col("years").cast("int").alias("year"), "value")
     out = aggregate.quantile_summary(long, "value", ["component", "scenario", "year"])
-    return out.select("component", "scenario", "year", *[rounded(c, 4).alias(c) for c in ("p05", "p50", "p95")], rounded("mean", 5).alias("mean"), "n")
+    return out.select("component", "scenario", "year", *[rounded(c, 7).alias(c) for c in ("p05", "p50", "p95")], rounded("mean", 5).alias("mean"), "n")
 
 
 @register(
