@@ -35,6 +35,8 @@ def rows(df: pd.DataFrame) -> list:
 def test_query(name, spark, duck):
     found = registry.queries()[name](spark, SF).toPandas()
     assert len(found)
+    if "converged" in found.columns:
+        assert found.converged.all()  # the chains of every series
     sql = registry.oracle_sql().get(name)
     if sql is None:
         return
