@@ -409,8 +409,8 @@ def sampled(model: Model, rngs: Sequence[np.random.Generator], walkers: int, bur
             bad = ~np.isfinite(lp)
             if not bad.any():
                 break
-            again = model.start[:, None] + 0.3 * model.spread[:, None] * each(lambda g: g.normal(size=(walkers, dim)))
-            x = np.where(bad[..., None], again, x)
+            for i in np.flatnonzero(bad.any(axis=1)):
+                x[i] = np.where(bad[i, :, None], model.start[i] + 0.3 * model.spread[i] * rngs[i].normal(size=(walkers, dim)), x[i])
             lp = np.where(bad, density(x), lp)
         for step in range(burn + keep):
             k = step % block
