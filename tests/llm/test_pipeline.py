@@ -1,9 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from levelcast.llm import mixing, pii, quality
+from levelcast.llm import mixing, pii, quality, stages
 from levelcast.llm.queries import queries, tokenizer_files
 
+from . import fixtures
 from .fixtures import awkward, empty
 from .test_packing import check
 from .test_simhash import groups
@@ -81,3 +83,19 @@ def test_staged_tables_can_be_released(spark):
     assert table.count() == 5 and os.path.isdir(folder)
     common.release(spark)
     assert not os.path.exists(folder)
+
+
+ODD = ["q_lang", "q_source", "q_text", "q_n_words", "q_kept", "m_copies", "m_size", "l_size", "row", "a.b", "a`b", "levelcast_carried", "hash", "fp", "text_hash"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in stages.STAGES], ids=[n for n, _ in stages.STAGES])
+def test_columns_of_any_name_pass(spark, stage):
+    docs = fixtures.awkward(spark).withColumns({c: F.lit(c) for c in ODD})
+    out = stage(spark, docs, "")
+    if stage is not stages.packing_sequences:
+        assert set(out.columns) == set(docs.columns)
+        plain = stage(spark, fixtures.awkward(spark), "")
+        assert out.count() == plain.count()
+        assert {tuple(r[c] for c in ODD) for r in out.collect()} == {tuple(ODD)}
+    else:
+        assert out.count() > 0
