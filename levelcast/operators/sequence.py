@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,27 +152,33 @@ def rate_over_window(df: DataFrame, x: str, t: str, years: float, out: str, by:
     return two.withColumn(out, rate).select(*df.columns, out)
 
 
-#: Steps of a recurrence that are folded at a time: an array grows by a copy, so long ones grow by whole parts.
-PART = 256
+#: Decay times of a block of a recurrence: what happened two blocks ago is below a double's precision (exp(-50) = 2e-22).
+BLOCK_DECAYS = 50.0
 
 
 def relaxation(df: DataFrame, forcing: str, t: str, tau: str, out: str, by: Sequence[str] = (), start: float | None = None) -> DataFrame:
     """dS/dt = (T - S) / tau, stepped exactly with the mean forcing of each step; S(0) = T(0) or ``start``.
 
-    ``tau`` is a column that is constant in each series; below 0.01 S follows T. The state is
-    folded over the series' array, in the JVM, ``PART`` rows at a time; a series must fit one row.
+    ``tau`` is a column that is constant in each series; below 0.01 S follows T. A step is the affine map S -> d S + (1 - d) m, and a
+    composition of such maps is one too: the state is the sum of all steps' (1 - d) m, each decayed by the time since. Time is cut into blocks of ``BLOCK_DECAYS``
+    decay times; a row takes its own block's steps by a running sum and the block before as one total, so that a series' blocks are dealt to
+    tasks and its length does not matter. Forcings must not be null.
     """
-    first = "__x.f" if start is None else f"{float(start)}D"
-    state = f"""case when size(__a) = 0 then (case when __tau < 0.01 then __x.f else {first} end) when __tau < 0.01 then __x.f
-        else (element_at(__a, -1).f + __x.f) / 2 + (element_at(__a, -1).v - (element_at(__a, -1).f + __x.f) / 2) * exp(-(__x.t - element_at(__a, -1).t) / __tau) end"""
-    kind = "array<struct<t:double,f:double,v:double>>"
-    fold = f"aggregate(slice(__rows, __k * {PART} + 1, {PART}), cast(slice(__all, -1, 1) as {kind}), (__a, __x) -> concat(__a, array(named_struct('t', __x.t, 'f', __x.f, 'v', cast({state} as double)))))"
-    fold = fold.replace("cast(slice(__all, -1, 1)", "cast(if(size(__all) = 0, __all, slice(__all, greatest(size(__all), 1), 1))")
-    path = f"aggregate(sequence(0, cast((size(__rows) - 1) div {PART} as int)), cast(array() as {kind}), (__all, __k) -> concat(__all, slice({fold}, if(__k = 0, 1, 2), {PART})))"
-    row = F.struct(F.col(t).cast("double").alias("t"), F.col(forcing).cast("double").alias("f"))
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("__rows"), F.first(tau).alias("__tau"))
-    folded = rows.select(*by, "__tau", F.explode(F.expr(path)).alias("__e"))
-    return folded.select(*by, F.col("__tau").alias(tau), F.col("__e.t").alias(t), F.col("__e.f").alias(forcing), F.col("__e.v").alias(out))
+    w = ordered(t, by)
+    rows = df.select(*by, F.col(tau), F.col(t).cast("double").alias(t), F.col(forcing).cast("double").alias(forcing))
+    span = F.greatest(F.col(tau), F.lit(0.01))
+    age = (F.col(t) - F.first(t).over(running(t, by))) / span
+    passed = (F.col(t) - F.lag(t).over(w)) / span
+    given = F.col(forcing) if start is None else F.lit(float(start))
+    add = F.when(passed.isNull(), given).otherwise(-F.expm1(-passed) * (F.col(forcing) + F.lag(forcing).over(w)) / 2)
+    rows = rows.withColumns({"_e": age, "_b": add}).withColumn("_k", F.floor(F.col("_e") / BLOCK_DECAYS))
+    rows = rows.withColumn("_b", F.col("_b") * F.exp(F.col("_e") - F.col("_k") * BLOCK_DECAYS))
+    totals = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by], (F.col("_k") + 1).alias("_next")).agg((F.sum("_b") * math.exp(-BLOCK_DECAYS)).alias("_total"))
+    match = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    both = rows.join(totals, reduce(lambda a, b: a & b, match, F.col("_k") == F.col("_next")), "left")
+    inner = F.sum("_b").over(running(t, [*by, "_k"])) + F.coalesce("_total", F.lit(0.0))
+    state = F.when(F.col(tau) < 0.01, F.col(forcing)).otherwise(inner * F.exp(F.col("_k") * BLOCK_DECAYS - F.col("_e")))
+    return both.withColumn(out, state).select(*by, tau, t, forcing, out)
 
 
 def two_layers(df: DataFrame, forcing: str, t: str, tau_up: str, tau_deep: str, by: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -21,3 +21,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(base)
     return f"{base}/levelcast-files/{sc.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what follows neither computes it twice nor depends on executors."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
