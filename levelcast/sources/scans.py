@@ -15,7 +15,8 @@ import re
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterator, Mapping, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -126,6 +127,23 @@ def _pieces(options: Mapping[str, str]) -> list[tuple[Piece, int]]:
     return [(p, size) for p, size in out if match.search(p.label)]
 
 
+def problem_of(piece: Piece) -> str | None:
+    """What is wrong with a file or member, if its header or the end of a variable cannot be read."""
+    try:
+        with readable(piece.uri, piece.member) as (read, size):
+            about = netcdf.header(read, size)
+            if not netcdf.data_variables(about):
+                return "no numeric grid"
+            for name, v in about.variables.items():
+                if v.shape and v.shape[0]:
+                    at, n = netcdf.byte_range(about, name, v.shape[0] - 1, v.shape[0])
+                    if at + n > size:
+                        return f"the file ends within variable {name}"
+    except (OSError, ValueError, KeyError, EOFError, zipfile.BadZipFile, zlib.error) as e:
+        return str(e) or type(e).__name__
+    return None
+
+
 class CellReader(ds.DataSourceReader):
     def __init__(self, schema: T.StructType, options: Mapping[str, str]):
         self.columns, self.options = schema.names, dict(options)
@@ -159,7 +177,7 @@ class CellReader(ds.DataSourceReader):
         split = int(self.options.get("splitbytes", SPLIT_BYTES))
         out = []
         for piece, size in _pieces(self.options):
-            if piece.member is not None or size <= split:
+            if piece.member is not None or size <= split or (self.options.get("damaged") == "skip" and problem_of(piece)):
                 out.append(piece)
                 continue
             with readable(piece.uri, None) as (read, _):
@@ -193,7 +211,7 @@ class CellReader(ds.DataSourceReader):
         return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        if not partition.uri:
+        if not partition.uri or (self.options.get("damaged") == "skip" and problem_of(partition)):
             return
         with readable(partition.uri, partition.member) as (read, size):
             about = netcdf.header(read, size)
@@ -284,15 +302,16 @@ class Members(ds.DataSource):
         return LineReader(self.options)
 
 
-def cells(spark: SparkSession, path: str, columns: Sequence[str] | None = None, match: str = "", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def cells(spark: SparkSession, path: str, columns: Sequence[str] | None = None, match: str = "", split_bytes: int = SPLIT_BYTES, damaged: str = "fail") -> DataFrame:
     """Cells of the classic NetCDF files, and such members of archives, at a path: coordinates, variables and ``file`` (archive!member for members).
 
     ``columns``: those wanted; other variables' bytes are not read. ``match``: a pattern that names must have. Missing values are null, scales and offsets are
-    applied. Comparisons of coordinates with literals are pushed to the scan.
+    applied. Comparisons of coordinates with literals are pushed to the scan. ``damaged``: whether files that cannot be read ``fail`` the scan or are left out (``skip``;
+    ``runs.catalogue`` tells them).
     """
     spark.dataSource.register(Cells)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    scan = spark.read.format(Cells.name()).option("match", match).option("splitBytes", split_bytes)
+    scan = spark.read.format(Cells.name()).option("match", match).option("splitBytes", split_bytes).option("damaged", damaged)
     if columns is not None:
         scan = scan.schema(T.StructType([T.StructField(c, T.StringType() if c == FILE else T.DoubleType()) for c in columns]))
     return scan.load(path)
@@ -304,7 +323,7 @@ def members(spark: SparkSession, path: str, match: str = "") -> DataFrame:
     return spark.read.format(Members.name()).option("match", match).load(path)
 
 
-def _put(uri: str, blocks: Iterator[bytes]) -> int:
+def put(uri: str, blocks: Iterable[bytes]) -> int:
     """Write a file under another name and move it to its own, so that a task that is run again does no harm."""
     store, path = opened(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
@@ -351,7 +370,7 @@ def _grouped(df: DataFrame, by: Sequence[str], needed: Sequence[str], write) ->
 
 def write_cells(df: DataFrame, folder: str, by: Sequence[str], dims: Sequence[str], values: Mapping[str, Mapping[str, object]], name: str = "{}", record: bool = False) -> int:
     """Write each group's cells as one file, named by the group (``name`` with a place for each key); a group is held by one task. Returns the bytes."""
-    return _grouped(df, by, [*dims, *values], lambda keys, table: _put(f"{folder}/{name.format(*keys)}.nc", grid_of(table, dims, values, record)))
+    return _grouped(df, by, [*dims, *values], lambda keys, table: put(f"{folder}/{name.format(*keys)}.nc", grid_of(table, dims, values, record)))
 
 
 def write_archives(df: DataFrame, folder: str, archive: str, member: str, dims: Sequence[str], values: Mapping[str, Mapping[str, object]], name: str = "{}", member_name: str = "{}") -> int:
@@ -364,6 +383,6 @@ def write_archives(df: DataFrame, folder: str, archive: str, member: str, dims:
                     own = table.filter(pa.compute.equal(table.column(member), m))
                     z.writestr(f"{member_name.format(m)}.nc", b"".join(grid_of(own, dims, values, False)))
             spool.seek(0)
-            return _put(f"{folder}/{name.format(*keys)}.zip", iter(lambda: spool.read(1 << 20), b""))
+            return put(f"{folder}/{name.format(*keys)}.zip", iter(lambda: spool.read(1 << 20), b""))
 
     return _grouped(df, [archive], [member, *dims, *values], write)
