@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import draws
-from . import aggregate, regress, sequence
+from . import aggregate, regress, sequence, sliding
 from .project import crossed, rate_polynomial
 
 
 def sliding_bandwidths(df: DataFrame, level: str, temp: str, t: str, by: Sequence[str], widths: Sequence[float] = (30.0, 40.0, 50.0, 60.0), **options) -> DataFrame:
-    """``regress.sliding_dynamic`` at each of a few half-widths (column ``bandwidth``)."""
-    parts = [regress.sliding_dynamic(df, level, temp, t, by, w, **options).withColumn("bandwidth", F.lit(float(w))) for w in widths]
+    """``sliding.sliding_dynamic`` at each of a few half-widths (column ``bandwidth``)."""
+    parts = [sliding.sliding_dynamic(df, level, temp, t, by, w, **options).withColumn("bandwidth", F.lit(float(w))) for w in widths]
     return reduce(DataFrame.unionByName, parts)
 
 
 def sliding_grid(levels: DataFrame, forcings: DataFrame, t: str, level: str, temp: str, widths: Sequence[float], **options) -> DataFrame:
-    """``sliding_bandwidths`` of every level series (``series``) against every forcing series (``forcing``) on common times."""
-    pairs = levels.select("series", t, level).join(forcings.select("forcing", t, temp), t)
+    """``sliding_bandwidths`` of every level series (``series``) against every forcing series (``forcing``) on common times, with their errors and
+    second forcing where ``options`` name them."""
+    more = lambda d, c: [options[c]] if options.get(c) in d.columns else []
+    pairs = levels.select("series", t, level, *more(levels, "sigma")).join(forcings.select("forcing", t, temp, *more(forcings, "saod")), t)
     return sliding_bandwidths(pairs, level, temp, t, ["series", "forcing"], widths, **options)
 
 

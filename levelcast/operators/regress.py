@@ -117,31 +117,6 @@ def robustness_matrix(levels: DataFrame, forcings: DataFrame, t: str, level: str
     return calibrate_dynamic(pairs.join(enough, ["series", "forcing"], "left_semi"), level, temp, t, ["series", "forcing"], order=order, n_lags=n_lags)
 
 
-def sliding_dynamic(df: DataFrame, level: str, temp: str, t: str, by: Sequence[str], half_width: float = 40.0, order: int = 2, n_lags: int = 2, least: float = 30.0, name: str = "tricube") -> DataFrame:
-    """Dynamic least squares with kernel weights about every time; the design is made once.
-
-    ``n_eff`` is Kish's (sum w)^2 / sum w^2; the HAC lags follow it; centres with less than
-    ``least`` are left out.
-    """
-    from ..functions.scalars import kernel
-    from .align import within
-
-    design, names = dynamic_design(df, temp, t, order, n_lags, None, by)
-    centres = design.select(*by, F.col(t).alias("centre"))
-    near = within(centres, design.select(*by, t, level, *names), t, half_width, by)
-    near = near.withColumn("_w", kernel((F.col(t) - F.col("centre")) / half_width, name)).filter("_w > 1e-12")
-
-    def fit(pdf: pd.DataFrame) -> dict:
-        w = pdf["_w"].to_numpy(float)
-        n_eff = w.sum() ** 2 / (w**2).sum()
-        if n_eff < least or len(pdf) <= len(names) + 1:
-            return {c: [] for c in ("term", "coef", "se", "n", "r2", "aic", "bic", "scale", "n_eff")}
-        x = np.column_stack([pdf[names].to_numpy(float), np.ones(len(pdf))])
-        return _terms(stats.Fit(x, pdf[level].to_numpy(float), w, stats.hac_lags(n_eff)), [*names, "const"]) | {"n_eff": n_eff}
-
-    return _grouped(near, [*by, "centre"], [level, *names, "_w"], fit, TERMS + ", n_eff double")
-
-
 def nonlinearity(df: DataFrame, rate: str, temp: str, by: Sequence[str], sigma: str | None = None) -> DataFrame:
     """Rate against temperature as polynomials of degree 1, 2, 3: nested F tests, AIC, BIC, a recommended degree.
 

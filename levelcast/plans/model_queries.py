@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, kinematics, regress, resample
+from ..operators import aggregate, composite, kinematics, regress, resample, sliding
 from . import fixtures as X
 from .fixtures import FORCING, LEVEL, REGIONAL, r, rounded
 from .registry import register
@@ -87,9 +87,45 @@ def regress_grid_summary(spark, sf):
     return out.select("forcing", *[rounded(c, 5).alias(c) for c in ("mean", "median", "std", "least", "most")], "n_pairs")
 
 
+_SLIDE = {(i, j): f"sum(w * x{i} * x{j})" for i in (1, 2, 3, 4) for j in range(i, 5)}
+
+
+@register(
+    "regress_sliding_sums",
+    f"""WITH {REGIONAL}, {FORCING}, j AS (SELECT series, month, regional.t_year AS t, level, sigma, temp * 10 - 5 AS temp, saod * 100 - 4 AS saod FROM regional JOIN forcing USING (month) WHERE sigma > 0),
+ d AS (SELECT *, t - min(t) OVER (PARTITION BY series) AS tr, coalesce((temp + lag(temp) OVER o) / 2 * (t - lag(t) OVER o), 0) AS st, coalesce((saod + lag(saod) OVER o) / 2 * (t - lag(t) OVER o), 0) AS ss FROM j WINDOW o AS (PARTITION BY series ORDER BY t)),
+ e AS (SELECT *, sum(st) OVER o AS ct, sum(ss) OVER o AS cs FROM d WINDOW o AS (PARTITION BY series ORDER BY t)),
+ c AS (SELECT series, t, level - avg(level) OVER s AS y, sigma, ct - avg(ct) OVER s AS x1, tr - avg(tr) OVER s AS x2, cs - avg(cs) OVER s AS x3, 1.0::DOUBLE AS x4 FROM e WINDOW s AS (PARTITION BY series)),
+ n AS (SELECT series, q.t AS centre, y, x1, x2, x3, x4, power(1 - power(abs(c.t - q.t) / 2.5, 3), 3) / (sigma * sigma) AS w FROM c JOIN (SELECT DISTINCT series, t FROM c) q USING (series) WHERE abs(c.t - q.t) <= 2.5),
+ m AS (SELECT series, centre, count(*) AS n, sum(w) ** 2 / sum(w * w) AS n_eff, {", ".join(f"{e} AS a{i}{j}" for (i, j), e in _SLIDE.items())}, {", ".join(f"sum(w * x{i} * y) AS b{i}" for i in (1, 2, 3, 4))} FROM n WHERE w > 1e-12 GROUP BY 1, 2),
+ g1 AS (SELECT *, a24 / a44 AS f2, a14 / a44 AS f1, a34 / a44 AS f3 FROM m WHERE n_eff >= 15 AND n > 4),
+ g2 AS (SELECT series, centre, n, n_eff, a11 - a14 * f1 AS c11, a12 - a14 * f2 AS c12, a13 - a14 * f3 AS c13, a22 - a24 * f2 AS c22, a23 - a24 * f3 AS c23, a33 - a34 * f3 AS c33, b1 - b4 * f1 AS d1, b2 - b4 * f2 AS d2, b3 - b4 * f3 AS d3 FROM g1),
+ h AS (SELECT *, c11 * (c22 * c33 - c23 * c23) - c12 * (c12 * c33 - c23 * c13) + c13 * (c12 * c23 - c22 * c13) AS det FROM g2),
+ k AS (SELECT series, centre, n, n_eff, unnest(['cum_t1', 'trend', 'cum_saod']) AS term, unnest([(d1 * (c22 * c33 - c23 * c23) - c12 * (d2 * c33 - c23 * d3) + c13 * (d2 * c23 - c22 * d3)) / det,
+   (c11 * (d2 * c33 - c23 * d3) - d1 * (c12 * c33 - c23 * c13) + c13 * (c12 * d3 - d2 * c13)) / det, (c11 * (c22 * d3 - d2 * c23) - c12 * (c12 * d3 - d2 * c13) + d1 * (c12 * c23 - c22 * c13)) / det]) AS coef FROM h)
+ SELECT series, {r("centre")} AS centre, term, n, {r("n_eff", 4)} AS n_eff, {r("coef", 4)} AS coef FROM k""",
+)
+def regress_sliding_sums(spark, sf):
+    """Coefficients of a level on a forcing, the trend and a second forcing about every month of every series."""
+    # anomalies of the forcings: an integral of a constant would be the trend
+    f = X.forcing(spark, sf).select("month", (F.col("temp") * 10 - 5).alias("temp"), (F.col("saod") * 100 - 4).alias("saod"))
+    s = X.regional(spark, sf).filter("sigma > 0").join(f, "month")
+    out = sliding.sliding_dynamic(s, "level", "temp", "t_year", ["series"], 2.5, 1, 0, 15.0, sigma="sigma", saod="saod").filter("term <> 'const'")
+    return out.select("series", rounded("centre").alias("centre"), "term", "n", rounded("n_eff", 4).alias("n_eff"), rounded("coef", 4).alias("coef"))
+
+
+@register("regress_sliding_grid")
+def regress_sliding_grid(spark, sf):
+    """Widths by data sets: every level series against two forcings, each with the other as second forcing."""
+    f = X.forcing(spark, sf).withColumn("saod", F.col("saod") * 10)
+    pairs = f.select("t_year", F.lit("temp").alias("forcing"), "temp", "saod").unionByName(f.select("t_year", F.lit("saod").alias("forcing"), F.col("saod").alias("temp"), F.col("temp").alias("saod")))
+    out = composite.sliding_grid(X.regional(spark, sf).filter("sigma > 0"), pairs, "t_year", "level", "temp", (2.0, 2.5, 3.0), order=1, n_lags=1, least=15.0, sigma="sigma", saod="saod")
+    return out.select("series", "forcing", "bandwidth", rounded("centre").alias("centre"), "term", rounded("coef", 4).alias("coef"), rounded("se", 4).alias("se"), rounded("n_eff", 4).alias("n_eff"))
+
+
 @register("regress_sliding_dynamic")
 def regress_sliding_dynamic(spark, sf):
-    out = regress.sliding_dynamic(joined(spark, sf), "level", "temp", "t_year", ["series"], 2.5, 1, 1, 20)
+    out = sliding.sliding_dynamic(joined(spark, sf), "level", "temp", "t_year", ["series"], 2.5, 1, 1, 20)
     return out.select("series", rounded("centre").alias("centre"), "term", "n", *[rounded(c, 3).alias(c) for c in ("coef", "se", "n_eff")])
 
 
