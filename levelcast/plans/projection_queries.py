@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import draws
-from ..operators import aggregate, mixture, project
+from ..operators import aggregate, mixture, project, regress
 from . import fixtures as X
 from .fixtures import r, rounded
 from .registry import register, table
@@ -134,18 +134,35 @@ def project_surface_balance(spark, sf):
     return project.ensemble_band(out).select("scenario", "year", *[rounded(c).alias(c) for c in ("p05", "p50", "p95")])
 
 
+def samples(spark, sf, name="part", key="p_partkey"):
+    """A sample for every row of a table."""
+    return table(spark, sf, name).select(F.col(key).alias("sample_id"))
+
+
+def discounts(spark, sf, factor, name):
+    """Levels that the discounts of the line items stand for."""
+    return table(spark, sf, "lineitem").select(F.round(F.col("l_discount") * factor, 4).alias(name)).distinct()
+
+
+def order_years(spark, sf, *shifts):
+    """Years of the orders, each moved by some numbers of years."""
+    years = table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    return years.select(F.explode(F.array(*[(F.col("y") + s).cast("double") for s in shifts])).alias("year")).distinct()
+
+
 @register("project_surface_balance_rates")
 def project_surface_balance_rates(spark, sf):
-    levels = spark.range(1, 6).select(F.col("id").cast("double").alias("warming"))
-    out = project.surface_balance_rates(mixture.sample_ids(spark, C.N_SAMPLES), levels, SMB)
+    out = project.surface_balance_rates(samples(spark, sf), discounts(spark, sf, 50, "warming"), SMB)
     return out.select("warming", *[rounded(c).alias(c) for c in ("p05", "p50", "p95")])
 
 
 @register("project_quadratic_extrapolation")
 def project_quadratic_extrapolation(spark, sf):
-    years = spark.range(2000, 2051).select(F.col("id").cast("double").alias("year"))
-    cov = [[1e-6, 0, 0], [0, 1e-8, 1e-10], [0, 1e-10, 1e-11]]
-    out = project.quadratic_extrapolation(mixture.sample_ids(spark, 1000), years, [0.05, 0.0035, 8e-5], cov, 2010.0, 2000.0)
+    series = X.level(spark, sf).filter("sigma > 0").withColumn("one", F.lit(1))
+    fit = regress.quadratic_fit(series, "t_year", "level", ["one"], 1998.0, "budget", "sigma").first()
+    spread = series.agg(F.avg("sigma")).first()[0]
+    cov = [[spread**2, 0, 0], [0, fit["var_rate"], 0], [0, 0, fit["var_accel"]]]
+    out = project.quadratic_extrapolation(samples(spark, sf), order_years(spark, sf, 0, 8, 16), [fit["level"], fit["rate"], fit["accel"]], cov, 1998.0, 1998.0)
     return aggregate.quantile_summary(out, "value", ["year"]).select("year", *[rounded(c).alias(c) for c in ("p05", "p50", "p95")])
 
 
@@ -158,15 +175,18 @@ def project_independent_decades(spark, sf):
 
 @register("mixture_endpoints")
 def mixture_endpoints(spark, sf):
-    e = mixture.endpoints(mixture.sample_ids(spark, 20_000))
+    e = mixture.endpoints(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sample_id")))
     return aggregate.quantile_summary(e, "end_mm", ["branch"]).select("branch", "n", *[rounded(c, 4).alias(c) for c in ("p05", "p50", "p95")])
 
 
 @register("mixture_trajectories")
 def mixture_trajectories(spark, sf):
-    years = spark.range(1990, 2151, 5).select(F.col("id").cast("double").alias("year"))
-    observed = spark.range(1992, 2011).select(F.col("id").cast("double").alias("year"), ((F.col("id") - 1992) * 0.3).alias("mm"), F.lit(0.4).alias("sigma"))
-    t = mixture.trajectories(mixture.sample_ids(spark, 2000), years, 5.4, 0.4, observed=observed)
+    level = X.level(spark, sf).groupBy(F.year("month").alias("y")).agg(F.avg("level").alias("level"), F.avg("sigma").alias("s"))
+    # the orders' years stand for twenty years of observations later
+    first = level.agg(F.min("y").alias("y0"), F.min_by("level", "y").alias("l0"))
+    observed = level.join(F.broadcast(first)).select((F.col("y") + 12).cast("double").alias("year"), ((F.col("level") - F.col("l0")) * 100).alias("mm"), (F.col("s") * 100).alias("sigma"))
+    anchor = observed.agg(F.max_by("mm", "year"), F.max_by("sigma", "year")).first()
+    t = mixture.trajectories(samples(spark, sf), order_years(spark, sf, 5, 12, 20, 50, 100, 150), anchor[0], anchor[1], observed=observed)
     return aggregate.quantile_summary(t, "value", ["year"]).select("year", "n", *[rounded(c).alias(c) for c in ("p05", "p50", "p95")])
 
 
@@ -174,22 +194,22 @@ def mixture_trajectories(spark, sf):
 def mixture_sensitivity(spark, sf):
     base = dict(C.INSTABILITY)
     variants = {"base": base, "S2 up": mixture.tornado_weight(base, "S2", 0.05), "S2 down": mixture.tornado_weight(base, "S2", -0.05), "S2 wider": mixture.overridden(base, high=("S2", 2, 1200.0)), "S3 symmetric": mixture.overridden(base, alpha=("S3", 3, 0.0))}
-    out = mixture.sensitivity(mixture.sample_ids(spark, 5000), variants, 2100)
+    out = mixture.sensitivity(samples(spark, sf, "orders", "o_orderkey"), variants, 2100)
     return out.select("variant", *[rounded(c).alias(c) for c in ("p05", "p50", "p95")])
 
 
 @register("mixture_one_year")
 def mixture_one_year(spark, sf):
-    out = mixture.at_year(mixture.sample_ids(spark, 5000), 2060, 5.4, 0.4, mode="B")
+    out = mixture.at_year(samples(spark, sf, "orders", "o_orderkey"), 2060, 5.4, 0.4, mode="B")
     return aggregate.quantile_summary(out, "value", ["branch"]).select("branch", "n", *[rounded(c).alias(c) for c in ("p05", "p50", "p95")])
 
 
 @register("draws_prior_predictive")
 def draws_prior_predictive(spark, sf):
     """Rates a T^2 + b T + c under priors a ~ Exp, b ~ half-normal, c ~ normal at five temperatures."""
-    ids = mixture.sample_ids(spark, 50_000)
+    ids = samples(spark, sf, "orders", "o_orderkey")
     par = ids.select(draws.exponential("prior/a", "sample_id", scale=0.002171).alias("a"), F.abs(draws.normal("prior/b", "sample_id", sigma=0.005)).alias("b"), draws.normal("prior/c", "sample_id", sigma=0.002).alias("c"))
-    temps = spark.range(5).select((F.col("id") * 0.5).alias("temp"))
+    temps = discounts(spark, sf, 20, "temp")
     rate = F.col("a") * F.col("temp") ** 2 + F.col("b") * F.col("temp") + F.col("c")
     out = aggregate.quantile_summary(par.crossJoin(F.broadcast(temps)).withColumn("rate", rate), "rate", ["temp"], {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
     return out.select("temp", *[rounded(c).alias(c) for c in ("p05", "p50", "p95", "p99", "mean")])
