@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, blend, derive, regress
+from ..operators import aggregate, blend, derive, regress, skewed, stacking
+from ..sources.scratch import written
 from . import fixtures as X
-from .fixtures import FORCING, REGIONAL, r, rounded
+from .fixtures import ENS, FORCING, REGIONAL, r, rounded
 from .model_queries import joined
 from .projection_queries import YEARLY, yearly
 from .registry import register, table
@@ -108,3 +109,32 @@ def derive_skew_normal_agreement(spark, sf):
     fit = regress.skew_normal_fit(q, ["scenario", "component"], qs).join(q, ["scenario", "component"])
     out = derive.skew_normal_agreement(fit.select("scenario", "component", "loc", "scale", "alpha", *[c for _, c in qs]), "loc", "scale", "alpha", qs)
     return out.select("scenario", "component", rounded("worst", 3).alias("worst"))
+
+
+@register("derive_stacking")
+def derive_stacking(spark, sf):
+    """Weights of three trends for every order priority, and the most that leaving one fold out moves them."""
+    ends = table(spark, sf, "orders").select(F.year("o_orderdate").cast("double").alias("end")).distinct()
+    scores = stacking.fold_scores(X.regional(spark, sf), "level", "t_year", ["series"], ends, {"flat": 0, "line": 1, "curve": 2}, 1.0, 12)
+    weights, influence = stacking.stacked(scores, ["series"])
+    moved = influence.groupBy("series").agg(F.max("moved").alias("moved"))
+    return weights.join(moved, "series").select("series", "model", "n", rounded("weight", 3).alias("weight"), rounded("mean_log_density", 3).alias("mean_log_density"), rounded("moved", 3).alias("moved"))
+
+
+@register("derive_skewed_draws", f"""WITH {ENS}, k AS (SELECT DISTINCT scenario, component, year FROM ens) SELECT scenario, component, year, (SELECT count(*) FROM supplier) AS n, true AS p05, true AS p50, true AS p95 FROM k""")
+def derive_skewed_draws(spark, sf):
+    """A draw per supplier of the skew-normal fitted to each cell of the ensemble; whether the shares below the fitted quantiles are as they should be."""
+    by = ["scenario", "component", "year"]
+    q = aggregate.quantile_summary(X.ensemble(spark, sf), "value", by)
+    # a cell's row is one task's work: spread them, and keep what was found
+    fits = written(regress.skew_normal_fit(q.repartition(64, *by), by, [(0.05, "p05"), (0.17, "p17"), (0.5, "p50"), (0.83, "p83"), (0.95, "p95")]), "skewed-fits")
+    ids = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"))
+    d = skewed.sampled(fits, ids, by)
+    wanted = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    told = skewed.with_grid(fits)
+    for name, p in wanted.items():
+        told = skewed.inverse(told.withColumn("_u", F.lit(p)), "_u", name)
+    told = told.select(*by, *[(F.col("loc") + F.col("scale") * F.col(c)).alias(f"_{c}") for c in wanted])
+    share = d.join(F.broadcast(told), by).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("value") <= F.col(f"_{c}")).cast("double")).alias(c) for c in wanted])
+    within = lambda c, p: (F.abs(F.col(c) - p) <= 5 * F.sqrt(p * (1 - p) / F.col("n"))).alias(c)
+    return share.select(*by, "n", *[within(c, p) for c, p in wanted.items()])
