@@ -28,3 +28,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results that still read it must have been written elsewhere."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, "x")).getParent()
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

@@ -74,3 +74,13 @@ def test_runs_less_their_control(spark, tmp_path):
     assert {(r.model, r.experiment, r.time, r.ivaf) for r in less.collect()} == {("m", "e1", 0.0, 0.0), ("m", "e1", 1.0, 9.0), ("m", "e1", 2.0, 18.0), ("m", "e1", 4.0, 26.0)}
     with pytest.raises(Exception, match="header|byte"):
         scans.cells(spark, root, ["time", "ivaf", "file"], match=r"\.nc$").collect()
+
+
+def test_what_queries_wrote_can_be_released(spark):
+    from levelcast.sources import scratch
+
+    table = scratch.written(spark.range(5), "numbers")
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert table.count() == 5 and os.path.isdir(folder)
+    scratch.release(spark)
+    assert not os.path.exists(folder)
