@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import damage
+from .quantiles import summarised
 
 QUANTILES = {"p05": 0.05, "p17": 0.17, "p50": 0.5, "p83": 0.83, "p95": 0.95}
 
 
 def quantile_summary(df: DataFrame, value: str, by: Sequence[str], quantiles: dict[str, float] | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, mean and population deviation."""
-    qs = quantiles or QUANTILES
-    out = df.groupBy(*by).agg(F.percentile(value, list(qs.values())).alias("_q"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
-    return out.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(qs)], "mean", "std", "n")
+    """Exact quantiles with linear interpolation, mean and population deviation, of groups of any size (``quantiles.summarised``)."""
+    return summarised(df, value, by, quantiles or QUANTILES)
 
 
 def component_sum(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

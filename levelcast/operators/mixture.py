@@ -6,6 +6,7 @@ All draws are hashes of the sample id, so every path is one expression of its ow
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,12 +109,11 @@ def trajectories(ids: DataFrame, years: DataFrame, anchor_mm: float = 0.0, ancho
 
 def sensitivity(ids: DataFrame, variants: Mapping[str, Scenarios], year: float, quantiles: Sequence[float] = (0.05, 0.5, 0.95), **options) -> DataFrame:
     """Quantiles of a year under each named variant of the scenarios."""
-    out = None
-    for name, scenarios in variants.items():
-        q = at_year(ids, year, scenarios=scenarios, **options).agg(F.percentile("value", list(quantiles)).alias("_q"))
-        part = q.select(F.lit(name).alias("variant"), *[F.col("_q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(quantiles)])
-        out = part if out is None else out.unionByName(part)
-    return out
+    from .aggregate import quantile_summary
+
+    each = [at_year(ids, year, scenarios=s, **options).select(F.lit(name).alias("variant"), "value") for name, s in variants.items()]
+    names = {f"p{round(p * 100):02d}": p for p in quantiles}
+    return quantile_summary(reduce(DataFrame.unionByName, each), "value", ["variant"], names).select("variant", *names)
 
 
 def common_draws(df: DataFrame, sample: str, n: int, by: Sequence[str] = (), stream: str = "thin") -> DataFrame:

@@ -35,15 +35,40 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Map
     v = F.col(value).cast("double")
     finite = F.when(F.abs(v) == float("inf"), F.raise_error(F.lit("quantiles of infinite values")).cast("double")).otherwise(v)
     rows = written(df.select(*by, finite.alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)"), "quantile-values")
+    return _ranked(rows, by, quantiles, limit)
+
+
+def summarised(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float], limit: int | None = None) -> DataFrame:
+    """(by..., a column per quantile, mean, std, n): exact quantiles, mean, population deviation and number of values.
+
+    Nulls are left out, but a group of nulls gives a row; NaN is the greatest value. Groups of up to ``limit`` values use the built-in percentile, larger ones are refined.
+    """
+    limit, by = limit or LIMIT, list(by)
+    rows = written(df.select(*by, F.col(value).cast("double").alias("_v")), "summary-values")
+    told = [F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.count("_v").alias("n")]
+    stats = written(rows.groupBy(*by).agg(*told), "summary-groups")
+    if (stats.agg(F.max("n")).first()[0] or 0) <= limit:
+        few = rows.groupBy(*by).agg(F.percentile("_v", list(quantiles.values())).alias("_q"), *told)
+        return few.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(quantiles)], "mean", "std", "n")
+    found = _ranked(rows.filter("_v IS NOT NULL"), by, quantiles, limit).drop("n")
+    found = found.select(*[F.col(c).alias(f"_k_{c}") for c in by], *quantiles)
+    return _joined(stats, found, by, how="left").select(*by, *quantiles, "mean", "std", "n")
+
+
+def _ranked(rows: DataFrame, by: Sequence[str], quantiles: Mapping[str, float], limit: int) -> DataFrame:
+    """(by..., a column per quantile, n) of rows with values ``_v``, none null; infinite values and NaN are buckets of their own."""
     keys = [f"_k_{c}" for c in by]
-    groups = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).filter("n > 0")
-    groups = written(groups, "quantile-groups")
+    kind = F.when(F.isnan("_v"), 3).when(F.col("_v") == float("inf"), 2).when(F.col("_v") == float("-inf"), 0).otherwise(1)
+    parts = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], kind.alias("_kind")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).filter("n > 0")
+    parts = parts.withColumn("below", F.sum("n").over(Window.partitionBy(*keys).orderBy("_kind").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    parts = written(parts.drop("_kind"), "quantile-groups")
+    groups = parts.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 0")
     asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
     asked = groups.select(*keys, "n", F.explode(asked).alias("z")).withColumn("at", (F.col("n") - 1) * F.col("z.q"))
     asked = asked.select(*keys, "n", F.col("z.name").alias("name"), F.floor("at").alias("low"), (F.col("at") - F.floor("at")).alias("part"))
     ranks = asked.select(*keys, F.explode(F.array("low", F.when(F.col("part") > 0, F.col("low") + 1).otherwise(F.col("low")))).alias("rank")).distinct()
     ranks = written(ranks, "quantile-ranks")
-    left, ready = groups.withColumn("below", F.lit(0).cast("long")), []
+    left, ready = parts, []
     while True:
         done = (F.col("n") <= limit) | (F.col("lo") == F.col("hi"))
         ready.append(left.filter(done))
@@ -71,6 +96,7 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Map
     pick = lambda name: found.select(*[F.col(k).alias(f"{k}_{name}") for k in keys], F.col("rank").alias(name), F.col("v").alias(f"v_{name}"))
     same = lambda name: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_{name}")) for k in keys], F.lit(True))
     both = asked.join(pick("r0"), same("r0") & (F.col("low") == F.col("r0"))).join(pick("r1"), same("r1") & (F.col("r1") == F.col("low") + F.when(F.col("part") > 0, 1).otherwise(0)))
-    value_at = F.col("v_r0") + (F.col("v_r1") - F.col("v_r0")) * F.col("part")
+    # equal values may be infinite
+    value_at = F.when(F.col("v_r0") == F.col("v_r1"), F.col("v_r0")).otherwise(F.col("v_r0") + (F.col("v_r1") - F.col("v_r0")) * F.col("part"))
     out = both.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == q, value_at)).alias(q) for q in quantiles])
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], *quantiles, "n")
