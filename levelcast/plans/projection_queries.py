@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import draws
-from ..operators import aggregate, mixture, project, regress
+from ..operators import aggregate, mixture, paths, project, regress
 from . import fixtures as X
 from .fixtures import r, rounded
 from .registry import register, table
@@ -211,5 +211,5 @@ def draws_prior_predictive(spark, sf):
     par = ids.select(draws.exponential("prior/a", "sample_id", scale=0.002171).alias("a"), F.abs(draws.normal("prior/b", "sample_id", sigma=0.005)).alias("b"), draws.normal("prior/c", "sample_id", sigma=0.002).alias("c"))
     temps = discounts(spark, sf, 20, "temp")
     rate = F.col("a") * F.col("temp") ** 2 + F.col("b") * F.col("temp") + F.col("c")
-    out = aggregate.quantile_summary(par.crossJoin(F.broadcast(temps)).withColumn("rate", rate), "rate", ["temp"], {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
+    out = aggregate.quantile_summary(paths.dealt(par).crossJoin(F.broadcast(temps)).withColumn("rate", rate), "rate", ["temp"], {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
     return out.select("temp", *[rounded(c).alias(c) for c in ("p05", "p50", "p95", "p99", "mean")])
