@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from .paths import dealt
 
 #: Nodes of the quadrature, ends and number of the grid's steps, Newton steps.
 NODES, EDGE, STEPS, NEWTON = 48, 10.0, 160, 4
@@ -67,6 +68,6 @@ def sampled(fits: DataFrame, ids: DataFrame, by: Sequence[str], stream: str = "s
     Uniforms are hashes of the cell and the sample, so that draws repeat under any partitioning. Cells are few (one for a component, scenario and year).
     """
     cells = with_grid(fits.select(*by, "loc", "scale", "alpha"))
-    rows = ids.crossJoin(F.broadcast(cells)).withColumn("_u", draws.uniform(stream, *[F.col(c).cast("string") for c in by], F.col("sample_id").cast("string")))
+    rows = dealt(ids).crossJoin(F.broadcast(cells)).withColumn("_u", draws.uniform(stream, *[F.col(c).cast("string") for c in by], F.col("sample_id").cast("string")))
     out = inverse(rows, "_u", "_z")
     return out.select(*by, "sample_id", (F.col("loc") + F.col("scale") * F.col("_z")).alias("value"))
