@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, quantiles
+from ..operators import aggregate, paths, quantiles
 from ..sources import runs, scans, store, tables
 from ..sources.scratch import shared_folder
 from . import fixtures as X
@@ -157,7 +157,7 @@ _WORLD = """w AS (SELECT s_suppkey * 2 + side.range AS sample_id, scenario.range
 def ensemble_total_quantiles(spark, sf):
     """Totals of seven components, sample by sample, and their quantiles by scenario and year, in buckets that bound what a task holds."""
     numbers = lambda n, start=0: F.explode(F.sequence(F.lit(start), F.lit(start + n - 1)))
-    w = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", numbers(2).alias("side")).withColumn("scenario", numbers(4)).withColumn("year", numbers(201, 1950)).withColumn("component", numbers(7))
+    w = paths.dealt(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")).select("s_suppkey", "s_acctbal", numbers(2).alias("side")).withColumn("scenario", numbers(4)).withColumn("year", numbers(201, 1950)).withColumn("component", numbers(7))
     value = (1 - 2 * F.col("side")) * (F.col("s_acctbal") / 1e4 - 0.45) * (F.col("component") + 1)
     value = (value + (F.col("s_suppkey") * 7919 * (F.col("component") + 3)) % 1009 / 1009 * (F.col("scenario") + 1)) * (F.col("year") - 1950) / 200
     w = w.select("scenario", "year", (F.col("s_suppkey") * 2 + F.col("side")).alias("sample_id"), value.alias("value"))
