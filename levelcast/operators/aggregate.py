@@ -13,9 +13,9 @@ from .quantiles import summarised
 QUANTILES = {"p05": 0.05, "p17": 0.17, "p50": 0.5, "p83": 0.83, "p95": 0.95}
 
 
-def quantile_summary(df: DataFrame, value: str, by: Sequence[str], quantiles: dict[str, float] | None = None) -> DataFrame:
+def quantile_summary(df: DataFrame, value: str, by: Sequence[str], quantiles: dict[str, float] | None = None, kept: bool = True) -> DataFrame:
     """Exact quantiles with linear interpolation, mean and population deviation, of groups of any size (``quantiles.summarised``)."""
-    return summarised(df, value, by, quantiles or QUANTILES)
+    return summarised(df, value, by, quantiles or QUANTILES, kept=kept)
 
 
 def component_sum(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

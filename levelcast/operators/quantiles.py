@@ -38,13 +38,16 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Map
     return _ranked(rows, by, quantiles, limit)
 
 
-def summarised(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float], limit: int | None = None) -> DataFrame:
+def summarised(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float], limit: int | None = None, kept: bool = True) -> DataFrame:
     """(by..., a column per quantile, mean, std, n): exact quantiles, mean, population deviation and number of values.
 
     Nulls are left out, but a group of nulls gives a row; NaN is the greatest value. Groups of up to ``limit`` values use the built-in percentile, larger ones are refined.
+    The values are written for the passes over them; with ``kept`` false each pass computes them again: for products of written tables, which are
+    many times their factors and come out the same each time.
     """
     limit, by = limit or LIMIT, list(by)
-    rows = written(df.select(*by, F.col(value).cast("double").alias("_v")), "summary-values")
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
+    rows = written(rows, "summary-values") if kept else rows
     told = [F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.count("_v").alias("n")]
     stats = written(rows.groupBy(*by).agg(*told), "summary-groups")
     if (stats.agg(F.max("n")).first()[0] or 0) <= limit:

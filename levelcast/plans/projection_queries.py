@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import draws
 from ..operators import aggregate, mixture, paths, project, regress
+from ..sources.scratch import written
 from . import fixtures as X
 from .fixtures import r, rounded
 from .registry import register, table
@@ -39,7 +40,7 @@ def project_level_ensemble(spark, sf):
  e AS (SELECT scenario, year, c0 * j0 + c1 * j1 + c2 * j2 AS value FROM b, draws)
  SELECT scenario, year, {r('quantile_cont(value, 0.05)')} AS p05, {r('quantile_cont(value, 0.5)')} AS p50, {r('quantile_cont(value, 0.95)')} AS p95, {r('avg(value)')} AS mean FROM e GROUP BY 1, 2""")
 def project_component_band(spark, sf):
-    out = project.ensemble_band(project.component_ensemble(part_draws(spark, sf), yearly(spark, sf), baseline=2010.0, order=2))
+    out = project.ensemble_band(project.component_ensemble(part_draws(spark, sf), yearly(spark, sf), baseline=2010.0, order=2), kept=False)
     return out.select("scenario", "year", *[rounded(c).alias(c) for c in ("p05", "p50", "p95", "mean")])
 
 
@@ -211,5 +212,6 @@ def draws_prior_predictive(spark, sf):
     par = ids.select(draws.exponential("prior/a", "sample_id", scale=0.002171).alias("a"), F.abs(draws.normal("prior/b", "sample_id", sigma=0.005)).alias("b"), draws.normal("prior/c", "sample_id", sigma=0.002).alias("c"))
     temps = discounts(spark, sf, 20, "temp")
     rate = F.col("a") * F.col("temp") ** 2 + F.col("b") * F.col("temp") + F.col("c")
-    out = aggregate.quantile_summary(paths.dealt(par).crossJoin(F.broadcast(temps)).withColumn("rate", rate), "rate", ["temp"], {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
+    grid = written(paths.dealt(par), "prior-samples").crossJoin(F.broadcast(written(temps, "prior-temps")))
+    out = aggregate.quantile_summary(grid.withColumn("rate", rate), "rate", ["temp"], {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}, kept=False)
     return out.select("temp", *[rounded(c).alias(c) for c in ("p05", "p50", "p95", "p99", "mean")])
