@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeaxis import decimal_year_by_month
+from ..operators.aggregate import exact_mean
 from .registry import table
 
 
@@ -35,7 +36,7 @@ def regional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("scenario"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("component"), F.floor(F.col("user_id") / 3).alias("sample_id"), (F.lit(2024) + F.floor((F.dayofmonth("ts") - 1) / 10)).cast("int").alias("year")).agg((F.avg("value") / 97.3).alias("value"))
+    return e.groupBy(F.col("event_type").alias("scenario"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("component"), F.floor(F.col("user_id") / 3).alias("sample_id"), (F.lit(2024) + F.floor((F.dayofmonth("ts") - 1) / 10)).cast("int").alias("year")).agg((exact_mean("value") / 97.3).alias("value"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
