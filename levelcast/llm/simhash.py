@@ -12,15 +12,17 @@ different fingerprints can share a key, and these are compared in the same way.
 
 Sixty-four bits and a distance of three find texts that hardly differ. ``one_of_each`` asks for a
 similarity of the sets of shingles instead, say 0.8, at which fingerprints differ in some 15 % of
-their bits: no choice of blocks of so distant fingerprints is both complete and selective. There
-the blocks that close pairs share are bands of least hashes of the shingles (MinHash, Broder, 1997),
-and wide SimHash fingerprints are compared under each band.
+their bits. There fingerprints have 1,024 bits and blocks are short: the bits are permuted and cut into
+blocks, as often as it takes. A pair that differs in fewer bits than one permutation has blocks agrees
+on one for certain, as above; so many blocks are taken that a pair at the bound itself misses them all with
+a probability of ``MISS``. All the nodes under a block are compared, first by two words of the
+fingerprint that no block uses, and what is close there by the whole fingerprint.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,15 +39,19 @@ BITS = 64
 SEED = 42
 #: Nodes of one key that one task compares; keys with more are refined.
 GROUP_LIMIT = 65_536
-#: Words (of 64 bits) of a wide fingerprint; bands of least hashes, and hashes in a band.
-WIDE, BANDS, ROWS = 16, 16, 5
-#: Standard deviations by which a wide distance may exceed what the similarity lets expect.
-SLACK = 1.0
-#: Nodes of a band's key in a block; larger groups are compared block by block.
+#: Words (of 64 bits) of a wide fingerprint; its first words that are compared under a block and are in none.
+WIDE, FIRST = 16, 2
+#: Standard deviations by which a wide distance may exceed what the similarity lets expect; and the first words' distance.
+SLACK, FIRST_SLACK = 1.0, 3.0
+#: Probability that two fingerprints at the bound agree on none of the blocks; bits of a block at least, and nodes that may agree on one by chance before it gets longer.
+MISS, SHORTEST, CHANCE = 0.002, 12, 2048
+#: Nodes of one block's key that are compared in a task; larger groups are dealt and compared part by part.
 MEMBERS = 4096
+#: Bitmaps (of 4 KB) of the rows that stay up to which they are broadcast.
+BITMAPS = 8192
 #: Hashes of n-grams that are scrambled at a time, and the odd numbers that scramble them.
 PIECE = 255 * 8
-SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE + BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -228,8 +234,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3, limit: int =
     return prints.join(found, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def sketch(text: str | None, n: int) -> tuple[bytes, bytes, np.ndarray]:
-    """Of the set of a text's word n-grams: a digest, the wide fingerprint, and the keys of the bands.
+def sketch(text: str | None, n: int) -> tuple[bytes, bytes]:
+    """Of the set of a text's word n-grams: a digest and the wide fingerprint. Where half of the n-grams have a bit, the least of their hashes decides.
 
     Words as for ``fingerprint``; with fewer than ``n`` words the whole sequence is the one n-gram.
     """
@@ -245,16 +251,15 @@ def sketch(text: str | None, n: int) -> tuple[bytes, bytes, np.ndarray]:
     h = np.unique(h)
     digest = xxhash.xxh3_128_digest(h.tobytes())
     if not len(h):
-        return digest, bytes(8 * WIDE), np.zeros(BANDS, np.int64)
-    ones, least = np.zeros((WIDE, BITS), np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+        return digest, bytes(8 * WIDE)
+    ones, half = np.zeros((WIDE, BITS), np.int64), None
     scrambled = h ^ (h >> np.uint64(31))
     for at in range(0, len(h), PIECE):
         g = scrambled[at : at + PIECE, None] * SALTS
         g = (g ^ (g >> np.uint64(32))) * mix
-        ones += set_bits(g[:, :WIDE])
-        least = np.minimum(least, g[:, WIDE:].min(axis=0))
-    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
-    return digest, np.packbits(ones * 2 > len(h), axis=1, bitorder="little").tobytes(), keys
+        ones += set_bits(g)
+        half = set_bits(g[:1]) if half is None else half
+    return digest, np.packbits(ones * 2 + half > len(h), axis=1, bitorder="little").tobytes()
 
 
 def set_bits(g: np.ndarray) -> np.ndarray:
@@ -270,14 +275,29 @@ def set_bits(g: np.ndarray) -> np.ndarray:
     return np.stack(counts, axis=2).reshape(g.shape[1], BITS)
 
 
-def furthest(similarity: float) -> int:
-    """Bits in which wide fingerprints of sets of at least this Jaccard similarity differ, but for ``SLACK``.
+def differing(similarity: float) -> float:
+    """Share of bits in which fingerprints of sets of this Jaccard similarity differ: the cosine is at least 2 s / (1 + s), and a bit differs with the angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    The cosine of two such sets is at least 2 s / (1 + s), and a bit differs with the angle over pi.
+
+def furthest(similarity: float, bits: int = WIDE * BITS, slack: float | None = None) -> int:
+    """Bits in which fingerprints of sets of at least this Jaccard similarity differ, but for ``SLACK``."""
+    p = differing(similarity)
+    return math.floor(bits * p + (SLACK if slack is None else slack) * math.sqrt(bits * p * (1 - p)))
+
+
+def cut_blocks(nodes: int, similarity: float) -> np.ndarray:
+    """(blocks, bits): the numbers of the bits of each block, without those of the first words.
+
+    Blocks are so long that at most ``CHANCE`` nodes or so agree on one by chance, and so many that a pair at the bound misses all with probability ``MISS``.
+    The bits are cut in a fixed random order, then in another one.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = WIDE * BITS
-    return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+    long = max(SHORTEST, math.ceil(math.log2(max(1, nodes) / CHANCE)))
+    many = math.ceil(-math.log(MISS) / (1 - differing(similarity)) ** long)
+    rest, pick = np.arange(FIRST * BITS, WIDE * BITS), np.random.default_rng(SEED)
+    each = len(rest) // long
+    cut = [pick.permutation(rest)[: each * long].reshape(each, long) for _ in range(-(-many // each))]
+    return np.concatenate(cut)[:many]
 
 
 def _near_sets(fps: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -297,24 +317,94 @@ def _near_sets(fps: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
             yield int(root), np.concatenate(found)
 
 
-def similar_links(nodes: DataFrame, most: int) -> DataFrame:
-    """Links (a, b) that connect what is connected by pairs which share a band and differ in at most ``most`` bits.
+def _close_sets(first: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """As ``_near_sets`` for groups in which few are near another: only those are told apart."""
+    hit = np.zeros(len(first), bool)
+    for at in range(0, len(first) - 1, 128):
+        d = sum(np.bitwise_count(first[at : at + 128, k, None] ^ first[None, at:, k]) for k in range(first.shape[1]))
+        near = d <= most
+        np.fill_diagonal(near, False)
+        hit[at : at + 128] |= near.any(axis=1)
+        hit[at:] |= near.any(axis=0)
+    own = np.flatnonzero(hit)
+    for root, others in _near_sets(first[own], most):
+        yield int(own[root]), own[others]
+
+
+def _blocked(nodes: DataFrame, blocks: np.ndarray) -> DataFrame:
+    """Each node under each of the blocks: key (the block's number and its bits), node and the first words."""
+    powers = np.int64(1) << np.arange(blocks.shape[1], dtype=np.int64)
+    numbers = np.arange(len(blocks), dtype=np.int64) << 40
+    words = [f"w{k}" for k in range(FIRST)]
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
+            bits = np.unpackbits(wide, axis=1, bitorder="little")
+            keys = np.stack([bits[:, b] @ powers + no for b, no in zip(blocks, numbers, strict=True)])
+            first = wide[:, : 8 * FIRST].copy().view(np.int64)
+            columns = [np.tile(c, len(blocks)) for c in (batch.column(0).to_numpy(), *first.T)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), *columns)], names=["key", "node", *words])
+
+        return each
 
-    nodes: node, wide, keys. A key's nodes are dealt to blocks of about ``MEMBERS``, and each pair
-    of blocks is compared in a task of its own, so no task holds a large group.
+    return common.map_arrow(nodes.select("node", "wide"), make, ", ".join(f"{c} long" for c in ("key", "node", *words)))
+
+
+def _close(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Sets of nodes of one group that are linked by their first words: (members' digest, root, node), equal sets of several groups once."""
+    words = [f"w{k}" for k in range(FIRST)]
+
+    def each(group):
+        node, first = group["node"], np.stack([group[w] for w in words], axis=1).view(np.uint64)
+        for root, others in _close_sets(first, most):
+            own = np.sort(node[np.append(others, root)])
+            digest = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0]
+            yield np.full(len(own), digest), np.full(len(own), own[0]), own
+
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "node")
+    return common.grouped(dealt, by, each, ["digest", "root", "node"], "digest long, root long, node long")
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what is connected by pairs which share a block and whose fingerprints are near enough for the similarity.
+
+    nodes: node, wide. A key's nodes beyond ``MEMBERS`` are dealt to parts of about that many, and each pair
+    of parts is compared in a task of its own, so no task holds a large group.
     """
-    keyed = common.staged(nodes.select("node", F.posexplode("keys").alias("band", "key")), "simhash-bands")
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
-    rows = keyed.join(sizes, ["band", "key"]).join(nodes.select("node", "wide"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "wide")
-    rows = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "node")
+    rows = _blocked(nodes, cut_blocks(nodes.count(), similarity))
+    most = furthest(similarity, FIRST * BITS, FIRST_SLACK)
+    large = common.staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEMBERS), "simhash-large")
+    count = large.count()
+    if count:
+        parts = common.sized(large.select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts")), count)
+        dealt = rows.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "parts")
+        close = _close(rows.join(common.sized(large.select("key"), count), "key", "left_anti"), ["key"], most).unionByName(_close(dealt, ["key", "i", "j"], most))
+    else:
+        close = _close(rows, ["key"], most)
+    close = common.staged(close.distinct(), "simhash-close")
+    whole = close.join(nodes.select("node", "wide"), "node").repartition("digest", "root").sortWithinPartitions("digest", "root", "node")
+    far = furthest(similarity)
 
     def each(group):
         node, fps = group["node"], np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(-1, WIDE)
-        for root, others in _near_sets(fps, most):
+        for root, others in _near_sets(fps, far):
             yield np.full(len(others), node[root]), node[others]
 
-    return common.grouped(rows, ["band", "key", "i", "j"], each, ["a", "b"], "a long, b long")
+    return common.grouped(whole.select("digest", "root", "node", "wide"), ["digest", "root"], each, ["a", "b"], "a long, b long")
+
+
+def _of_rows(table: DataFrame, kept: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a staged table whose ``row`` is one of those that ``kept`` gives, as bitmaps of 2**15 numbers, which are broadcast while they are few: only numbers are shuffled."""
+    bits = lambda: kept().groupBy(F.shiftright("row", 15).alias("chunk")).agg(F.bitmap_construct_agg(F.col("row").bitwiseAND(32767)).alias("bits"))
+    maps = common.settled(bits, "simhash-kept")
+    at = F.col("row").bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    few = maps.count() <= BITMAPS
+    rows = table.withColumn("chunk", F.shiftright("row", 15)).join(F.broadcast(maps) if few else maps.hint("merge"), "chunk")
+    return rows.filter(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).drop("chunk", "bits")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -333,24 +423,22 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [sketch(t, n) for t in batch.column(1).to_pylist()]
             exact = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([k for _, _, k in found])))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact, pa.binary()), pa.array([d for d, _, _ in found], pa.binary()), pa.array([w for _, w, _ in found], pa.binary()), keys, batch.column(2)], names=["doc_id", "exact", "digest", "wide", "keys", "whole"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact, pa.binary()), *[pa.array(c, pa.binary()) for c in zip(*found, strict=True)], batch.column(2)], names=["doc_id", "exact", "digest", "wide", "whole"])
 
         return each
 
-    kinds = T.StructType([*T.StructType.fromDDL("doc_id long, exact binary, digest binary, wide binary, keys array<long>").fields, whole.schema["whole"]])
+    kinds = T.StructType([*T.StructType.fromDDL("doc_id long, exact binary, digest binary, wide binary").fields, whole.schema["whole"]])
     prints = common.staged(common.map_arrow(whole, make, kinds).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "exact", "row"))
 
     def kept() -> DataFrame:
-        nodes = prints.groupBy("digest").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys"), least.alias("first"))
+        nodes = prints.groupBy("digest").agg(F.first("wide").alias("wide"), least.alias("first"))
         nodes = common.staged(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-sets")
-        labels = connected_components(similar_links(nodes, furthest(similarity)))
+        labels = connected_components(similar_links(nodes, similarity))
         named = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         return named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
 
-    # the texts are shuffled at any size: no join that changes with the size of what is kept
-    return prints.join(common.settled(kept, "simhash-kept").hint("merge"), "row", "left_semi").select("whole.*")
+    return _of_rows(prints, kept).select("whole.*")
 
 
 def hex_digits(fp: Column) -> Column:
