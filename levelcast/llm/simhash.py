@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3, limit: int =
 
 
 def sketch(text: str | None, n: int) -> tuple[bytes, bytes]:
-    """Of the set of a text's word n-grams: a digest and the wide fingerprint. Where half of the n-grams have a bit, the least of their hashes decides.
+    """Of the set of a text's word n-grams: a digest and the wide fingerprint.
 
     Words as for ``fingerprint``; with fewer than ``n`` words the whole sequence is the one n-gram.
     """
@@ -252,14 +252,13 @@ def sketch(text: str | None, n: int) -> tuple[bytes, bytes]:
     digest = xxhash.xxh3_128_digest(h.tobytes())
     if not len(h):
         return digest, bytes(8 * WIDE)
-    ones, half = np.zeros((WIDE, BITS), np.int64), None
+    ones = np.zeros((WIDE, BITS), np.int64)
     scrambled = h ^ (h >> np.uint64(31))
     for at in range(0, len(h), PIECE):
         g = scrambled[at : at + PIECE, None] * SALTS
         g = (g ^ (g >> np.uint64(32))) * mix
         ones += set_bits(g)
-        half = set_bits(g[:1]) if half is None else half
-    return digest, np.packbits(ones * 2 + half > len(h), axis=1, bitorder="little").tobytes()
+    return digest, np.packbits(ones * 2 > len(h), axis=1, bitorder="little").tobytes()
 
 
 def set_bits(g: np.ndarray) -> np.ndarray:
